@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_bitsliced
+from . import language_zstd, line_quality, mixing_entropy, simhash_bitsliced
 from .common import table
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_bitsliced.op8_simhash_near_dedup(table(spark, sf_dir, "documents"))
 
+def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def queries() -> dict[str, Query]:
     return {
-        "op8_simhash_near_dedup": _op8,
+        "op2_language_id": _over("documents", language_zstd.op2_language_id),
+        "op5_quality_rules": _over("documents", line_quality.op5_quality_rules),
+        "op6_source_mixing": _over("documents", mixing_entropy.op6_source_mixing),
+        "op8_simhash_near_dedup": _over("documents", simhash_bitsliced.op8_simhash_near_dedup),
     }
 
 
