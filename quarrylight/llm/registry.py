@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_zstd, line_quality, mixing_entropy, simhash_bitsliced
+from . import arc_to_warc, language_zstd, line_quality, line_winnowing, mixing_entropy, simhash_bitsliced
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_arc_to_warc": _over("pages", arc_to_warc.op1_arc_to_warc),
         "op2_language_id": _over("documents", language_zstd.op2_language_id),
+        "op4_line_dedup": _over("documents", line_winnowing.op4_line_dedup),
         "op5_quality_rules": _over("documents", line_quality.op5_quality_rules),
         "op6_source_mixing": _over("documents", mixing_entropy.op6_source_mixing),
         "op8_simhash_near_dedup": _over("documents", simhash_bitsliced.op8_simhash_near_dedup),
@@ -26,4 +28,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_arc_to_warc": arc_to_warc.OP1_SQL,
+        "op4_line_dedup": line_winnowing.OP4_SQL,
+    }
