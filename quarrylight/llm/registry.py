@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, language_zstd, line_quality, line_winnowing, mixing_entropy, simhash_bitsliced
+from . import arc_to_warc, decontaminate_bm25, html_mincut, language_zstd, line_quality, line_winnowing, mixing_entropy, simhash_bitsliced, url_boosting
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate_bm25.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": _over("pages", arc_to_warc.op1_arc_to_warc),
@@ -23,7 +27,10 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": _over("documents", line_winnowing.op4_line_dedup),
         "op5_quality_rules": _over("documents", line_quality.op5_quality_rules),
         "op6_source_mixing": _over("documents", mixing_entropy.op6_source_mixing),
+        "op7_url_filter": _over("pages", url_boosting.op7_url_filter),
         "op8_simhash_near_dedup": _over("documents", simhash_bitsliced.op8_simhash_near_dedup),
+        "op9_decontamination": _op9,
+        "op10_html_extraction": _over("pages", html_mincut.op10_html_extraction),
     }
 
 
