@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, decontaminate_bm25, html_mincut, language_zstd, line_quality, line_winnowing, mixing_entropy, simhash_bitsliced, url_boosting
+from . import arc_to_warc, decontaminate_bm25, html_mincut, language_zstd, line_quality, line_winnowing, mixing_entropy, pii_surrogates, simhash_bitsliced, url_boosting
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_arc_to_warc": _over("pages", arc_to_warc.op1_arc_to_warc),
         "op2_language_id": _over("documents", language_zstd.op2_language_id),
+        "op3_pii_surrogates": _over("documents", pii_surrogates.op3_pii_surrogates),
         "op4_line_dedup": _over("documents", line_winnowing.op4_line_dedup),
         "op5_quality_rules": _over("documents", line_quality.op5_quality_rules),
         "op6_source_mixing": _over("documents", mixing_entropy.op6_source_mixing),
