@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers that would not find it by PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sent = {Path(p).name for p in spark.sparkContext.listFiles}
+    if root not in known and "quarrylight.zip" not in sent:
+        packed = shutil.make_archive(f"{tempfile.mkdtemp()}/quarrylight", "zip", root, "quarrylight")
+        spark.sparkContext.addPyFile(packed)  # the driver serves it to the workers from there
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ from .components import connected_components
 #: Fingerprint of a text without words.
 EMPTY = 0
 _CHUNK = 1 << 16
-_PAIRS = 1 << 18
+_PAIRS = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -92,11 +92,13 @@ def _signed(x: int) -> int:
 
 
 def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np.ndarray:
-    """Bit-sliced comparison of the fingerprints of each group (rows sorted by group, fp distinct within it).
+    """Bit-sliced comparison of the fingerprints of each group (rows sorted by group).
 
+    fp has a row or value of 64-bit words for each fingerprint; bits under mask are known to be equal in a group.
     Returns for each row the index of the least row it is linked to, directly or over others of its group.
     """
     n = len(fp)
+    fp = fp.reshape(n, -1)
     label = np.arange(n)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
@@ -106,8 +108,10 @@ def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np
     word = np.repeat(first_word[:-1], sizes) + within // 64
     lane = (within % 64).astype(np.uint64)
     word_start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    free = [p for p in range(64) if not mask >> p & 1]
-    planes = {p: np.bitwise_or.reduceat(((fp >> np.uint64(p)) & np.uint64(1)) << lane, word_start) for p in free}
+    free = [p for p in range(64 * fp.shape[1]) if not mask >> p & 1]
+    bit_of = lambda p: (fp[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+    planes = {p: np.bitwise_or.reduceat(bit_of(p) << lane, word_start) for p in free}
+    often = max(6, radius // 2)
     width = np.diff(np.r_[word_start, n])
     full = np.where(width == 64, ~np.uint64(0), (np.uint64(1) << (width % 64).astype(np.uint64)) - np.uint64(1))
     # a query meets its own word and the later ones of its group
@@ -124,11 +128,11 @@ def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np
         counters = [np.zeros(len(q), np.uint64) for _ in range((radius + 1).bit_length())]
         over = np.zeros(len(q), np.uint64)
         for k, p in enumerate(free):
-            carry = planes[p][w] ^ (np.uint64(0) - ((fp[q] >> np.uint64(p)) & np.uint64(1)))
+            carry = planes[p][w] ^ (np.uint64(0) - bit_of(p)[q])
             for c in range(len(counters)):
                 counters[c], carry = counters[c] ^ carry, counters[c] & carry
             over |= carry
-            if k % 6 == 5 or k == len(free) - 1:
+            if k % often == often - 1 or k == len(free) - 1:
                 alive = full[w] & ~(over | _above(counters, radius))
                 keep = alive != 0
                 if not keep.all():
@@ -262,13 +266,127 @@ def near_duplicates(
     return each.join(class_of, "fp").select("id", "fp", "component")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 5, blocks: int = 4) -> DataFrame:
-    """The documents whose doc_id is the least of its component, one row each; columns as they were.
+# ---------------------------------------------------------------------------------------------------------------
+# Similarity of 0.8 over five-word shingles. Such texts differ in about 38 of 256 bits, too many for tables of equal
+# bits; buckets come from minima of the shingle hashes instead, and the bit-sliced comparison decides in each bucket.
 
-    Documents with a null doc_id can't be told apart from their group and stay.
+WIDE_WORDS = 4
+#: Of 256 bits, the expected distance at a Jaccard similarity of 0.8 is 38, with a deviation of 6.
+WIDE_RADIUS = 44
+_BANDS, _BAND_ROWS = 12, 3
+_DRAW = np.random.default_rng(256).integers(1 << 63, size=_BANDS * _BAND_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(WIDE_WORDS words of SimHash over the distinct shingles, bucket keys from bands of shingle minima)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WIDE_WORDS, np.uint64), np.zeros(1, np.uint64)
+    grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+    fp = np.empty(WIDE_WORDS, np.uint64)
+    for i in range(WIDE_WORDS):
+        counts = np.zeros(64, np.int64)
+        mixed = _spread(h * _DRAW[i])
+        for k in range(0, len(h), _CHUNK):
+            counts += np.unpackbits(mixed[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        fp[i] = np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
+    least = np.array([_spread(h * d).min() for d in _DRAW[WIDE_WORDS:]]).reshape(_BANDS, _BAND_ROWS)
+    keys = np.arange(_BANDS, dtype=np.uint64)
+    for r in range(_BAND_ROWS):
+        keys = _spread(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+    return fp, keys
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, f0.., keys) for each row of docs (doc_id, text)."""
+    names = [f"f{i}" for i in range(WIDE_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]
+            fp = np.array([x[0] for x in each], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            keys = pa.array([x[1].view(np.int64) for x in each], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fp[:, i]) for i in range(WIDE_WORDS)], keys], names=["id", *names, "keys"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    return picked.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *names]) + ", keys array<long>")
+
+
+def _wide_links(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
+    """Rows (by.., id, f0..) -> (u, v) links of ids within the buckets of equal `by`."""
+    names = [*by, "id", *[f"f{i}" for i in range(WIDE_WORDS)]]
+    width = len(by)
+
+    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:width]], axis=0)]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        if several.any():
+            ids = cols[width][several]
+            fp = np.stack([c[several] for c in cols[width + 1 :]], 1).view(np.uint64)
+            root = close_links(fp, group[several], 0, radius)
+            linked = root != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * len(names)
+        for b in batches:
+            cols = [np.r_[h, b.column(i).to_numpy(zero_copy_only=False)] for i, h in enumerate(held)]
+            if not len(cols[0]):
+                continue
+            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:width]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield from emit([c[:cut] for c in cols])
+        if len(held[0]):
+            yield from emit(held)
+
+    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = 4096) -> DataFrame:
+    """docs (doc_id, text) -> (id, component): near copies (Jaccard similarity of about 0.8 or more) share the least id.
+
+    Buckets above bucket_rows are cut into chunks, and every two chunks meet in a task of their own, so no link of a
+    hot bucket is lost and no task gets all of it. Null text counts as empty, wordless texts are one group, null ids are
+    left out. Repeated rows give repeated rows.
+    """
+    fp = [f"f{i}" for i in range(WIDE_WORDS)]
+    each = written(_wide(docs.where("doc_id is not null"), shingle), "wide")
+    least = written(each.groupBy(*fp).agg(F.min(F.struct("id", "keys")).alias("x")).select(*fp, F.col("x.id").alias("id"), F.col("x.keys").alias("keys")), "distinct")
+    rows = least.select(F.explode("keys").alias("key"), "id", *fp)
+    sizes = rows.groupBy("key").count()
+    hot = written(sizes.where(F.col("count") > bucket_rows), "hot")
+    if hot.isEmpty():
+        links = _wide_links(rows, ["key"], radius)
+    else:
+        links = _wide_links(rows.join(hot, "key", "left_anti"), ["key"], radius)
+        chunks = F.ceil(F.col("count") / bucket_rows * 2).cast("long")
+        mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
+        cut = rows.join(hot, "key").withColumn("chunks", chunks).withColumn("mine", mine)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+        pairs = cut.select("key", "id", *fp, "mine", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+        links = links.union(_wide_links(pairs, ["key", "low", "high"], radius))
+    roots = connected_components(links)
+    named = least.select(*fp, F.col("id").alias("node")).join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("component"))
+    return each.join(named, fp).select("id", "component")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id, one row of it; columns as they were.
+
+    Documents with a null doc_id can't be told apart from a group and stay.
     """
-    class_of = near_duplicates(docs, shingle=shingle, radius=radius, blocks=blocks)
-    kept = class_of.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    kept = similar_components(docs).where("id = component").select(F.col("id").alias("doc_id")).distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.where("doc_id is null"))
 
