@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_plans
+from . import intent_plans, text_plans, url_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (url_plans,)
+_MODULES = (url_plans, intent_plans, text_plans)
 
 
 def _plans() -> dict[str, tuple[Query, str | None]]:
