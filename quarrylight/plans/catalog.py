@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intent_plans, text_plans, url_plans
+from . import intent_plans, rowset_plans, text_plans, url_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (url_plans, intent_plans, text_plans)
+_MODULES = (url_plans, intent_plans, text_plans, rowset_plans)
 
 
 def _plans() -> dict[str, tuple[Query, str | None]]:
@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["url_13_quality_adjustment"](spark, sf_dir)
+    return queries()["rnk_03_rerank_top"](spark, sf_dir)
