@@ -80,15 +80,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     rows = docs.drop("n_lines", "n_deleted")
     rows = rows.withColumn("__rid", F.monotonically_increasing_id())
     gone = repeated_lines(rows.select(F.col("__rid").alias("rid"), "doc_id", "text"), min_words)
-    marked = rows.join(gone, rows["__rid"] == gone["rid"], "left")
+    gone = gone.select(F.col("rid").alias("__rid"), F.col("deleted").alias("__deleted"))
+    marked = rows.join(gone, "__rid", "left")
     lines = F.split("text", "\n")
     # positions alternate with the spans of kept lines between them
-    ends = F.concat(F.array_sort("deleted"), F.array(F.size(lines)))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.array_sort("deleted"), lambda p: p + 1))
+    ends = F.concat(F.array_sort("__deleted"), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.array_sort("__deleted"), lambda p: p + 1))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
-    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    out = marked.withColumn("__n", n_lines.cast("long")).withColumn("__d", F.coalesce(F.size("deleted"), F.lit(0)).cast("long"))
+    out = marked.withColumn("__n", n_lines.cast("long")).withColumn("__d", F.coalesce(F.size("__deleted"), F.lit(0)).cast("long"))
     cols = [text.alias(c) if c == "text" else F.col(c) for c in rows.columns if c != "__rid"]
     return out.select(*cols, F.col("__n").alias("n_lines"), F.col("__d").alias("n_deleted"))
 

@@ -267,12 +267,12 @@ def near_duplicates(
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# Similarity of 0.8 over five-word shingles. Such texts differ in about 38 of 256 bits, too many for tables of equal
+# Similarity of 0.8 over five-word shingles. Such texts differ in about 76 of 512 bits, too many for tables of equal
 # bits; buckets come from minima of the shingle hashes instead, and the bit-sliced comparison decides in each bucket.
 
-WIDE_WORDS = 4
-#: Of 256 bits, the expected distance at a Jaccard similarity of 0.8 is 38, with a deviation of 6.
-WIDE_RADIUS = 44
+WIDE_WORDS = 8
+#: Of 512 bits, the expected distance at a Jaccard similarity of 0.8 is 76, with a deviation of 8.
+WIDE_RADIUS = 88
 _BANDS, _BAND_ROWS = 12, 3
 _DRAW = np.random.default_rng(256).integers(1 << 63, size=_BANDS * _BAND_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -26,6 +26,7 @@ RULES = (
 )
 SUFFIX_BUCKETS = 4096
 _PART = re.compile(r"[a-z0-9]+")
+_FEATURES = 20
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,7 @@ def boost(x: np.ndarray, y: np.ndarray, settings: Settings = Settings(), shares:
 
 
 def _matrix(urls, hosts, paths, buckets, shares: np.ndarray) -> np.ndarray:
-    return np.array([lexical(u, h, p, shares[b]) for u, h, p, b in zip(urls, hosts, paths, buckets, strict=True)], float).reshape(len(urls), -1)
+    return np.array([lexical(u, h, p, shares[b]) for u, h, p, b in zip(urls, hosts, paths, buckets, strict=True)], float).reshape(len(urls), _FEATURES)
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
@@ -228,9 +229,9 @@ def judge(pages: DataFrame, model: Model, rules=RULES, url_col: str = "url") ->
     rows = own.withColumn("host", host).withColumn("path", path)
     rule, kind = match_rule(F.col("host"), F.col("path"), rules)
     p = blocked.asNondeterministic()(F.col(url_col), "host", "path", suffix_bucket(F.col("host")))
-    rows = rows.withColumn("p_block", p).withColumn("rule", rule).withColumn("by_rule", kind)
-    verdict = F.coalesce("by_rule", F.when(F.col("p_block") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.withColumn("verdict", verdict).drop("by_rule")
+    rows = rows.withColumn("p_block", p).withColumn("rule", rule).withColumn("__by_rule", kind)
+    verdict = F.coalesce("__by_rule", F.when(F.col("p_block") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    return rows.withColumn("verdict", verdict).drop("__by_rule")
 
 
 def rule_labels(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
