@@ -120,7 +120,7 @@ def _effective(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
-    tail = F.filter(F.transform(F.collect_list("text").over(w), F.trim), lambda t: t != "")
+    tail = F.filter(F.transform(F.collect_list("text").over(w), lambda t: F.trim(t)), lambda t: t != "")
     head = F.concat(F.array_join(tail, "\n"), F.lit("\n---\nТекущее сообщение:\n"))
     return turns.select("conv_id", "turn", F.when(F.size(tail) > 0, F.concat(head, F.trim("text"))).otherwise(F.col("text")).alias("effective"))
 
