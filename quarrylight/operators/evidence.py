@@ -13,7 +13,8 @@ from ..functions.urls import blank
 
 
 def _asked(messages: DataFrame) -> DataFrame:
-    return messages.select("query_id", "message", F.transform(F.slice(I.place_tokens(F.col("message")), 1, 4), F.lower).alias("places"))
+    kept = [c for c in ("query_id", "message", "depth") if c in messages.columns]
+    return messages.select(*kept, F.transform(F.slice(I.place_tokens(F.col("message")), 1, 4), F.lower).alias("places"))
 
 
 def assess(rows: DataFrame, messages: DataFrame, min_enriched: int = 2500, min_numeric: int = 3, min_hosts: int = 3, min_place: float = 0.35) -> DataFrame:
@@ -77,7 +78,7 @@ def answer_ready(rows: DataFrame, messages: DataFrame, depth: Column) -> DataFra
     c = F.col
     body = F.trim(blank(c("enriched_text")))
     near = F.lower(F.concat_ws("\n", blank(c("title")), blank(c("url")), F.substring(body, 1, 4000)))
-    asked = _asked(messages).withColumn("depth", I.effective_depth(c("message"), depth))
+    asked = _asked(messages.withColumn("depth", depth)).withColumn("depth", I.effective_depth(c("message"), c("depth")))
     placed = F.exists("places", lambda p: F.contains(c("near"), p))
     pages = asked.join(rows.withColumn("body", body).withColumn("near", near), "query_id")
     agg = pages.groupBy("query_id", "depth").agg(
@@ -180,3 +181,19 @@ def outliers(values: DataFrame, group: str, value: str) -> DataFrame:
     joined = values.join(g.select(group, F.when(F.col("n") >= 4, mid).alias("mid")), group)
     v = F.col(value)
     return joined.withColumn("outlier", F.coalesce((v > 0) & (F.col("mid") > 0) & ((v / F.col("mid") >= 10) | (F.col("mid") / v >= 10)), F.lit(False))).drop("mid")
+
+
+def early_stop(read: DataFrame, messages: DataFrame, depth: Column, waves_most: int = 8) -> DataFrame:
+    """Read pages (hits with wave) -> those of the waves up to the first after which the answer is ready.
+
+    Every prefix of waves is judged as a query of its own, at most waves_most a query, so no step waits for another.
+    """
+    number = lambda q, w: q * waves_most + w
+    last = F.max("wave").over(Window.partitionBy("query_id"))
+    prefixes = read.withColumn("last", last).withColumn("upto", F.explode(F.sequence("wave", "last")))
+    asked = prefixes.select("query_id", "upto").distinct().join(messages.withColumn("depth", depth), "query_id")
+    keyed = asked.select(number(F.col("query_id"), F.col("upto")).alias("query_id"), "message", "depth")
+    rows = prefixes.select(number(F.col("query_id"), F.col("upto")).alias("query_id"), *[c for c in read.columns if c not in ("query_id", "wave")])
+    ready = answer_ready(rows, keyed, F.col("depth"))
+    first = ready.where("ready").select(F.floor(F.col("query_id") / waves_most).alias("query_id"), (F.col("query_id") % waves_most).alias("stop")).groupBy("query_id").agg(F.min("stop").alias("stop"))
+    return read.join(first, "query_id", "left").where(F.col("stop").isNull() | (F.col("wave") <= F.col("stop"))).drop("stop")

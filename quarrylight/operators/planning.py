@@ -14,6 +14,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.regex import java
 from ..functions.urls import blank
+from .evidence import outliers
 
 # ---- Fixed values: what decides a lens, its role and its query ---------------------------------------------------
 PRICE = r"(цена|цен[ыу]|стоимост|price|cost|rent|аренд|зарплат|salary|wage|ставк|rate|fee|тариф|сколько\s+стоит)"
@@ -215,3 +216,34 @@ def enrich_limit(n_hits: Column, draft: Column, allowlisted: Column, full: Colum
     )
 
 
+
+
+def shrink(body: DataFrame, max_bytes: int, cuts: tuple[int, ...] = (500_000, 300_000, 150_000, 80_000, 40_000, 20_000)) -> DataFrame:
+    """(key.., synthesized, results) -> json no larger than max_bytes if the ladder gets there.
+
+    First whole; then without page texts, the block cut step by step; the last resort is 12,000 characters of it.
+    """
+    bare = F.transform("results", lambda r: r.withField("enriched_text", F.lit(None).cast("string")))
+    wrap = lambda text, rows: F.to_json(F.struct(F.lit("v1").alias("v"), text.alias("synthesized"), rows.alias("results")))
+    out = wrap(F.substring("synthesized", 1, 12_000), bare)
+    for cut in reversed(cuts):
+        step = wrap(F.substring("synthesized", 1, cut), bare)
+        out = F.when(F.octet_length(step) <= max_bytes, step).otherwise(out)
+    whole = wrap(F.col("synthesized"), F.col("results"))
+    return body.withColumn("json", F.when(F.octet_length(whole) <= max_bytes, whole).otherwise(out))
+
+
+def append_facts(evidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """evidence (query_id, text) with the fact texts of repositories it names but doesn't hold yet, in name order."""
+    named = evidence.select("query_id", F.explode(repositories(F.col("text"))).alias("repo")).select("query_id", F.lower("repo").alias("repo"))
+    held = evidence.select("query_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\[STRUCTURED:github_api\]\s*repo=([^\s]+)"), F.lit(1))).alias("repo")).select("query_id", F.lower("repo").alias("repo"))
+    missing = named.distinct().join(held.distinct(), ["query_id", "repo"], "left_anti").join(facts.select(F.lower("full_name").alias("repo"), "enriched_text"), "repo")
+    block = missing.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repo", "enriched_text"))), lambda s: s["enriched_text"]), "\n\n").alias("block"))
+    joined = evidence.join(block, "query_id", "left")
+    return joined.select("query_id", F.when(F.col("block").isNull(), F.col("text")).otherwise(F.concat(F.trim(F.concat(F.rtrim("text"), F.lit("\n\n"), F.col("block"))), F.lit("\n"))).alias("text"))
+
+
+def critic(figs: DataFrame) -> DataFrame:
+    """figures (query_id, pos, n, raw, value) -> counts of figures and outliers and whether more search is needed."""
+    marked = outliers(figs, "query_id", "value")
+    return marked.groupBy("query_id").agg(F.count("*").alias("figures"), F.count_if("outlier").alias("outliers"), (F.count_if(~F.col("outlier")) == 0).alias("needs_more"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import numbers as N
 from ..functions.regex import sql_text
+from ..functions import portals as Po
 from ..operators import evidence as E
 from ..operators import planning as P
 from ..operators import rowsets as S
+from ..sources import providers as Pr
 from ..sources import relations as R
 from .intent_plans import YEAR, _LEAD, _TOPIC_CUT, collapse, edge, has, nouns_sql
 from .rowset_plans import _RANKED, ASSESS
@@ -75,6 +77,29 @@ def _explicit(spark, d):
 _REPO = [sql_text(p.replace(r"\b", "")) for p in P.REPO_PATTERNS]
 _REPOS = "list_filter(list_transform(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(message, {p}, 1)" for p in _REPO[:2]) + f"), regexp_extract_all(message, {_REPO[2]}, 1)), lambda r: regexp_replace(r, '\\.git$', '')), lambda r: not list_contains({list(P.NOT_REPOS)}, lower(split_part(r, '/', -1))))"
 
+def _cycle(values):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values) + 1).cast("int"))
+
+
+def _direct(spark, d):
+    c = R.read(spark, d, "customer")
+    key = F.col("c_custkey")
+    box = F.struct(F.lit("").alias("answer"), F.col("c_mktsegment").alias("snippet"), F.col("c_name").alias("title"), F.concat(F.lit("https://www.a.com/"), key).alias("link"))
+    card = F.when(key % 2 == 0, F.struct(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("type"), F.lit("about it").alias("description"), F.create_map(F.lit("k"), F.col("c_nationkey").cast("string"), F.lit("empty"), F.lit("")).alias("attributes")))
+    stories = F.when(key % 3 == 0, F.array(*[F.struct(F.lit(f"story {i}").alias("title"), F.lit(f"https://n{i}.org/x").alias("link"), F.lit("desk").alias("source")) for i in range(4)]))
+    return Pr.direct_answers(c.select(key.alias("query_id"), F.to_json(F.struct(box.alias("answerBox"), card.alias("knowledgeGraph"), stories.alias("topStories"))).alias("body")))
+
+
+def _append(spark, d):
+    facts = P.fact_row(spark.createDataFrame([("microsoft/autogen", 31000), ("pallets/flask", 68000)], "full_name string, stars long"))
+    return P.append_facts(R.queries(spark, d).select("query_id", F.col("message").alias("text")), facts)
+
+
+def _shrink(spark, d):
+    rows = R.hits(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "url", "snippet", "enriched_text"))).alias("results"))
+    return P.shrink(rows.withColumn("synthesized", F.repeat(F.lit("text "), 6000)), 60_000, (20_000,)).select("query_id", "json")
+
+
 PLANS = {
     "pln_01_heuristic_plan": (lambda spark, d: P.plan(R.queries(spark, d), YEAR), f"select query_id, i - 1 as ord, x.role as role, substr({collapse('x.query')}, 1, 240) as query from (select query_id, unnest(l) as x, generate_subscripts(l, 1) as i from (select query_id, {_LENSES} as l from {_TOPIC}))"),
     "pln_03_explicit_plan": (
@@ -108,4 +133,29 @@ PLANS = {
         lambda spark, d: R.messages(spark, d).select("id", P.enrich_limit(F.col("id") % 30, F.col("id") % 2 == 0, F.col("id") % 5, F.col("id") % 3 == 0, F.col("id") % 7 == 0, F.lit(9)).alias("pages")),
         f"select id, cast(case when id % 2 = 0 and id % 5 = 0 then 0 when id % 2 = 0 then least(id % 30, id % 5, 8) when id % 5 > 0 then least(id % 30, greatest(id % 5, 1)) when id % 3 = 0 then id % 30 when id % 7 = 0 then 6 else 9 end as bigint) as pages from {R.MESSAGES_SQL}",
     ),
+    "src_08_market_and_freshness": (
+        lambda spark, d: R.messages(spark, d).select("id", Pr.market(I.language(F.col("message"))).alias("market"), Pr.freshness(_cycle(("d1", "w1", "d7", "m1", "m3", "y1", ""))).alias("freshness")),
+        r"select id, case when length(regexp_replace(message, '[^\x{0400}-\x{04FF}]', '', 'g')) > length(message) * 0.2 then 'ru-RU' else 'en-US' end as market, list_extract(['Day', 'Week', 'Week', 'Month', 'Month', null, 'Month'], id % 7 + 1) as freshness from " + R.MESSAGES_SQL,
+    ),
+    "src_03_direct_answers": (
+        _direct,
+        """select query_id, ord, title, url, snippet, source, relevance from (select c_custkey as query_id, 0 as ord, c_name as title, 'https://www.a.com/' || c_custkey as url, c_name || '. ' || c_mktsegment as snippet, 'a.com' as source, 1.0::double as relevance from customer
+ union all select c_custkey, 1, c_name, '', c_mktsegment || '. about it. k: ' || c_nationkey, 'google_knowledge_graph', 0.98 from customer where c_custkey % 2 = 0
+ union all select c_custkey, 2 + i, 'story ' || i, 'https://n' || i || '.org/x', 'story ' || i || ' — desk', 'n' || i || '.org', 0.9 from customer, (select unnest(range(3)) as i) where c_custkey % 3 = 0)""",
+    ),
+    "url_18_portal_link": (
+        lambda spark, d: R.messages(spark, d).select("id", Po.deep_link(F.col("message"), "portal.example", "cinema", "2026-01-30").alias("link")),
+        "select id, coalesce('https://portal.example/' || case " + " ".join(f"when {has('message', p)} then '{c}'" for p, c in Po.CITIES.items()) + """ end || '/cinema?date_from=' || strftime(date '2026-01-30' + case when contains(lower(message), 'послезавтра') then 2 when contains(lower(message), 'завтра') then 1 else 0 end, '%Y-%m-%d'), 'https://portal.example/') as link from """ + R.MESSAGES_SQL,
+    ),
+    "agg_10_critic": (
+        lambda spark, d: P.critic(P.figures(R.hits(spark, d))),
+        f"""select query_id, count(*) as figures, count(*) filter (o) as outliers, count(*) filter (not o) = 0 as needs_more from (select *, c >= 4 and mid > 0 and (value / mid >= 10 or mid / value >= 10) as o from (select query_id, value, count(*) over w as c,
+ list_extract(list_sort(list(value) over w), cast(floor(count(*) over w / 2) as bigint) + 1) as mid from (select * from {_FIGURES} where n < 12) window w as (partition by query_id))) group by query_id""",
+    ),
+    "set_05_append_facts": (_append, None),
+    "set_17_shrink_payload": (_shrink, None),
+    "win_02_early_stop": (
+        lambda spark, d: E.early_stop(E.waves(R.hits(spark, d).where("enriched_text is not null"), 2, 8), R.queries(spark, d), F.when(F.col("query_id") % 3 == 0, F.lit("fast")).otherwise(F.lit("deep"))).select("query_id", "pos", "wave"),
+        None,
+    ),
 }
