@@ -116,7 +116,7 @@ def is_markdown_chrome(x: Column) -> Column:
 
 def has_token_loop(x: Column) -> Column:
     """The same token of 4 to 40 characters eight times in a row."""
-    return (F.length(F.trim(blank(x))) >= 80) & F.trim(blank(x)).rlike(r"(?iU)(?<!\S)(\S{4,40})(?:\s+\1){7,}")
+    return (F.length(F.trim(blank(x))) >= 80) & F.trim(blank(x)).rlike(r"(?iU)(?<!\S)(\S{4,40}+)(?!\S)(?:\s+\1(?!\S)){7,}")
 
 
 def has_fragment_loop(x: Column) -> Column:
