@@ -122,3 +122,40 @@ def test_last_object_and_plans(spark):
 def test_configuration_is_clamped():
     assert EngineConfig(hedge_ms=99_999, max_agents=1).hedge_ms == 15_000 and EngineConfig(max_agents=1).max_agents == 2
     assert PROFILES["light"].max_results == 8 and EngineConfig().year == 2026
+
+
+def test_waves_stop_after_the_first_ready_one(spark):
+    pages = ["it is 22 degrees", "about 22 now", "it was 21", "90 once", "x", "y"]
+    rows = spark.createDataFrame([(q, i, "t", f"https://h{i}.com", "", None, "s", 0.5, p if q == 1 else f"{10 ** i} units") for q in (1, 2) for i, p in enumerate(pages)], HIT)
+    ask = spark.createDataFrame([(1, "temperature there"), (2, "units there")], "query_id long, message string")
+    kept = E.early_stop(E.waves(rows, 2, 6), ask, F.lit("fast")).collect()
+    assert sorted(r.pos for r in kept if r.query_id == 1) == [0, 1]
+    assert sorted(r.pos for r in kept if r.query_id == 2) == [0, 1, 2, 3, 4, 5]
+
+
+def test_facts_are_appended_once(spark):
+    facts = P.fact_row(spark.createDataFrame([("a/tool", 5), ("b/other", 6)], "full_name string, stars long"))
+    text = [(1, "see repo:a/tool and repo:b/other"), (2, "[STRUCTURED:github_api] repo=a/tool\nstars=5 repo:a/tool"), (3, "nothing")]
+    out = {r.query_id: r.text for r in P.append_facts(spark.createDataFrame(text, "query_id long, text string"), facts).collect()}
+    assert out[1] == text[0][1] + "\n\n[STRUCTURED:github_api] repo=a/tool\nstars=5\n\n[STRUCTURED:github_api] repo=b/other\nstars=6\n"
+    assert out[2] == text[1][1] and out[3] == "nothing"
+
+
+def test_payload_ladder(spark):
+    rows = spark.createDataFrame([(1, "s" * 100), (2, "s" * 30_000)], "id int, synthesized string")
+    hits = F.array(F.struct(F.lit("t").alias("title"), F.lit("e" * 3000).alias("enriched_text")))
+    out = {r.id: r.json for r in P.shrink(rows.withColumn("results", hits), 25_000).collect()}
+    assert "e" * 3000 in out[1] and "e" * 3000 not in out[2] and len(out[2]) < 25_000 and "s" * 20_000 in out[2]
+
+
+def test_entry_urls_are_ranked_and_once(spark):
+    urls = ["https://a.com/x?p=1", "https://www.census.gov/news/", "https://a.com/x?p=2", "https://instagram.com/p", "http://10.0.0.1/"]
+    rows = spark.createDataFrame([(1, i, "t", u, "", None, "s", 0.5, None) for i, u in enumerate(urls)], HIT)
+    out = S.entry_urls(rows, F.lit(None).cast("string")).orderBy("rank").collect()
+    assert [r.url for r in out] == ["https://www.census.gov/news/", "https://a.com/x?p=1"]
+
+
+def test_limiter_and_breaker_share_a_call(spark):
+    events = spark.createDataFrame([("k", float(t), t, o) for t, o in enumerate(["error", "error", "ok", "ok", "ok"])], "key string, t double, event_id long, outcome string")
+    got = {r.event_id: r.allowed for r in G.fold(events, G.guarded(3, 100.0, 2, 1.5), "allowed").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
