@@ -2,7 +2,9 @@
 
 Training takes a bounded sample (`docs_per_lang` excerpts of `excerpt_chars` a language, least text hashes first) and
 cuts it into `shards` raw-content dictionaries of `dict_bytes`. A text is reduced to lower-case words of letters and
-encoded, whole, once per language. Every frame starts with an anchor, the end of the language's own dictionary, which
+encoded, whole, once per language; what exceeds `piece_bytes` is cut into equal pieces of that size at most, each encoded
+on its own and their sizes summed, since a dictionary saves a frame a bounded number of bytes and a margin over one long
+frame would shrink with its length. Every frame starts with an anchor, the end of the language's own dictionary, which
 costs the same few bytes in each language; without it zstandard stores a short text raw and all sizes tie. Texts under
 `short_bytes` are encoded at a higher level with every shard and their sizes summed, for a finer scale.
 A text is rejected when the runner-up's size exceeds the winner's by less than `min_margin` of it.
@@ -34,6 +36,7 @@ class Settings:
     anchor_bytes: int = 512
     level: int = 6
     short_bytes: int = 512
+    piece_bytes: int = 8192
     short_level: int = 12
     min_margin: float = 0.005
 
@@ -83,7 +86,9 @@ class Encoder:
             return UNDETERMINED, 0.0, False
         body = b" " + body + b" "
         frames = self.short if len(body) < self.settings.short_bytes else self.long
-        sizes = sorted((sum(len(pack(anchor + body)) for pack, anchor in own), lang) for lang, own in zip(self.languages, frames, strict=True))
+        each = -(-len(body) // -(-len(body) // self.settings.piece_bytes))
+        pieces = [body[k : k + each] for k in range(0, len(body), each)]
+        sizes = sorted((sum(len(pack(anchor + x)) for pack, anchor in own for x in pieces), lang) for lang, own in zip(self.languages, frames, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, True
         margin = 1.0 - sizes[0][0] / sizes[1][0]
