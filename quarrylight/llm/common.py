@@ -27,11 +27,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/quarrylight/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,7 +70,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with text reduced to the lines that stay, plus n_lines and n_deleted; such columns of docs are replaced.
 
-    docs is read twice and its rows numbered in both, so it should be a stored table, not the outcome of a shuffle.
+    The rows are numbered once and written with their numbers; windows and deletions both go by that table, since numbers
+    given in two scans differ where the cut into tasks does.
 
     Earlier means a smaller doc_id (null first), then an earlier row, then an earlier line. Lines are compared
     lower-cased with white space collapsed; lines without words belong to the run around them if it is deleted, and
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     alone; repeated rows are repeats; an empty table gives an empty result.
     """
     rows = docs.drop("n_lines", "n_deleted")
-    rows = rows.withColumn("__rid", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("__rid", F.monotonically_increasing_id()), "numbered", compression="zstd")
     gone = repeated_lines(rows.select(F.col("__rid").alias("rid"), "doc_id", "text"), min_words)
     gone = gone.select(F.col("rid").alias("__rid"), F.col("deleted").alias("__deleted"))
     marked = rows.join(gone, "__rid", "left")

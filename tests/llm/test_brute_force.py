@@ -148,6 +148,21 @@ def test_line_dedup_equals_brute_force(spark):
         assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in gone[r.doc_id])
 
 
+def test_line_dedup_holds_when_the_cut_into_tasks_changes(spark, tmp_path):
+    line = lambda d: " ".join(f"w{d}x{i}" for i in range(60))
+    rows = [(d, line(d if d % 3 else 0) + f"\n{line(1000 + d)}") for d in range(1, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(name, "1g")
+        out = line_winnowing.dedup_lines(spark.read.parquet(f"{tmp_path}/docs"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        got = {r.doc_id: r.n_deleted for r in out.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {d: int(d % 3 == 0 and d > 3) for d, _ in rows}
+
+
 def test_quality_counts_and_line_limits(spark, documents):
     got = {r.doc_id: r for r in line_quality.op5_quality_rules(documents).collect()}
     for r in documents.collect():
