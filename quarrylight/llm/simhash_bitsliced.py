@@ -91,15 +91,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np.ndarray:
+def close_pairs(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bit-sliced comparison of the fingerprints of each group (rows sorted by group).
 
     fp has a row or value of 64-bit words for each fingerprint; bits under mask are known to be equal in a group.
-    Returns for each row the index of the least row it is linked to, directly or over others of its group.
+    Yields the index pairs within the radius, in parts; some in both orders, and every row with itself.
     """
     n = len(fp)
     fp = fp.reshape(n, -1)
-    label = np.arange(n)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, n])
     within = np.arange(n) - np.repeat(starts, sizes)
@@ -146,7 +145,14 @@ def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np
             alive = full[w]
         hit = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at, bit = np.nonzero(hit)
-        _union(label, q[at], word_start[w[at]] + bit)
+        yield q[at], word_start[w[at]] + bit
+
+
+def close_links(fp: np.ndarray, group: np.ndarray, mask: int, radius: int) -> np.ndarray:
+    """For each row the index of the least row that pairs within the radius link it to, directly or over others of its group."""
+    label = np.arange(len(fp))
+    for a, b in close_pairs(fp, group, mask, radius):
+        _union(label, a, b)
     return _flat(label)
 
 
@@ -268,11 +274,16 @@ def near_duplicates(
 
 # ---------------------------------------------------------------------------------------------------------------
 # Similarity of 0.8 over five-word shingles. Such texts differ in about 76 of 512 bits, too many for tables of equal
-# bits; buckets come from minima of the shingle hashes instead, and the bit-sliced comparison decides in each bucket.
+# bits; buckets come from minima of the shingle hashes instead. The bit-sliced comparison proposes pairs in each bucket,
+# and the exact Jaccard similarity of their shingle sets decides.
 
 WIDE_WORDS = 8
-#: Of 512 bits, the expected distance at a Jaccard similarity of 0.8 is 76, with a deviation of 8.
-WIDE_RADIUS = 88
+#: Of 512 bits, the expected distance at a Jaccard similarity of 0.8 is 76 with a deviation of 8, and up to 96 in texts of
+#: a few shingles.
+WIDE_RADIUS = 128
+#: Proposals of the first round, which are mostly similar.
+NEAR_RADIUS = 80
+SIMILARITY = 0.8
 _BANDS, _BAND_ROWS = 12, 3
 _DRAW = np.random.default_rng(256).integers(1 << 63, size=_BANDS * _BAND_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -319,21 +330,41 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     return picked.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *names]) + ", keys array<long>")
 
 
-def _wide_links(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """Rows (by.., id, f0..) -> (u, v) links of ids within the buckets of equal `by`."""
-    names = [*by, "id", *[f"f{i}" for i in range(WIDE_WORDS)]]
+def _wide_pairs(rows: DataFrame, by: list[str], radius: int, near: int | None = None) -> DataFrame:
+    """Rows (by.., id, component, f0..) -> (u, v) pairs of ids within the buckets of equal `by`, of different components.
+
+    With `near`, each row gives its pair with the first row of the bucket within that distance, and one with itself if
+    any row is within the radius; otherwise all pairs within the radius come.
+    """
+    names = [*by, "id", "component", *[f"f{i}" for i in range(WIDE_WORDS)]]
     width = len(by)
 
+    def batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:width]], axis=0)]
         group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        if several.any():
-            ids = cols[width][several]
-            fp = np.stack([c[several] for c in cols[width + 1 :]], 1).view(np.uint64)
-            root = close_links(fp, group[several], 0, radius)
-            linked = root != np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+        component, start = cols[width + 1], np.flatnonzero(new)
+        several = (np.maximum.reduceat(component, start) != np.minimum.reduceat(component, start))[group]
+        if not several.any():
+            return
+        ids, component, group = cols[width][several], component[several], group[several]
+        fp = np.stack([c[several] for c in cols[width + 2 :]], 1).view(np.uint64)
+        first, met = np.arange(len(ids)), np.zeros(len(ids), bool)
+        for a, b in close_pairs(fp, group, 0, radius):
+            apart = (a < b) & (component[a] != component[b])
+            a, b = a[apart], b[apart]
+            if near is None:
+                yield batch(ids[a], ids[b])
+            else:
+                met[a] = met[b] = True
+        if near is not None:
+            for a, b in close_pairs(fp, group, 0, near):
+                apart = (a < b) & (component[a] != component[b])
+                np.minimum.at(first, b[apart], a[apart])
+            linked = first != np.arange(len(ids))
+            yield batch(np.r_[ids[met], ids[linked]], np.r_[ids[met], ids[first[linked]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * len(names)
@@ -349,36 +380,80 @@ def _wide_links(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
         if len(held[0]):
             yield from emit(held)
 
-    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "id")
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _shingle_set(text: str | None, shingle: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)}
+
+
+def similar(a: str | None, b: str | None, shingle: int = 5, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of the shingle sets of two texts is `similarity` or more."""
+    x, y = _shingle_set(a, shingle), _shingle_set(b, shingle)
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The (u, v) pairs whose texts (id, text) are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similar(x, y, shingle) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("id").alias("u"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("y"))
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = 4096) -> DataFrame:
-    """docs (doc_id, text) -> (id, component): near copies (Jaccard similarity of about 0.8 or more) share the least id.
+    """docs (doc_id, text) -> (id, component): near copies (Jaccard similarity of 0.8 or more) share the least id.
+
+    Two rounds: the first links every text to the first close one of each of its buckets, which joins most of a group with
+    few pairs; the second takes every pair within the radius that still lies in different components. Each pair of both
+    is verified by its shingle sets before it links.
 
     Buckets above bucket_rows are cut into chunks, and every two chunks meet in a task of their own, so no link of a
     hot bucket is lost and no task gets all of it. Null text counts as empty, wordless texts are one group, null ids are
     left out. Repeated rows give repeated rows.
     """
     fp = [f"f{i}" for i in range(WIDE_WORDS)]
-    each = written(_wide(docs.where("doc_id is not null"), shingle), "wide")
+    named = docs.where("doc_id is not null")
+    each = written(_wide(named, shingle), "wide")
     least = written(each.groupBy(*fp).agg(F.min(F.struct("id", "keys")).alias("x")).select(*fp, F.col("x.id").alias("id"), F.col("x.keys").alias("keys")), "distinct")
-    rows = least.select(F.explode("keys").alias("key"), "id", *fp)
-    sizes = rows.groupBy("key").count()
+    sizes = least.select(F.explode("keys").alias("key")).groupBy("key").count()
     hot = written(sizes.where(F.col("count") > bucket_rows), "hot")
-    if hot.isEmpty():
-        links = _wide_links(rows, ["key"], radius)
-    else:
-        links = _wide_links(rows.join(hot, "key", "left_anti"), ["key"], radius)
+    none_hot = hot.isEmpty()
+
+    def proposed(nodes: DataFrame, near: int | None) -> DataFrame:
+        rows = nodes.select(F.explode("keys").alias("key"), "id", "component", *fp)
+        if none_hot:
+            return _wide_pairs(rows, ["key"], radius, near).distinct()
+        cold = _wide_pairs(rows.join(hot, "key", "left_anti"), ["key"], radius, near)
         chunks = F.ceil(F.col("count") / bucket_rows * 2).cast("long")
         mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
         cut = rows.join(hot, "key").withColumn("chunks", chunks).withColumn("mine", mine)
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-        pairs = cut.select("key", "id", *fp, "mine", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-        links = links.union(_wide_links(pairs, ["key", "low", "high"], radius))
+        pairs = cut.select("key", "id", "component", *fp, "mine", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+        return cold.union(_wide_pairs(pairs, ["key", "low", "high"], radius, near)).distinct()
+
+    first = written(proposed(least.withColumn("component", F.col("id")), NEAR_RADIUS), "first_pairs")
+    met = first.where("u = v").select(F.col("u").alias("id"))
+    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(met, "id", "left_semi")
+    texts = written(texts, "texts", compression="zstd")
+    links = written(_verified(first.where("u != v"), texts, shingle), "verified")
+    roots = written(connected_components(links), "first_roots").withColumnRenamed("root", "component")
+    # only texts with another one within the radius can gain a link
+    open_rows = least.join(met, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    open_rows = open_rows.withColumn("component", F.coalesce("component", "id"))
+    second = written(proposed(open_rows, None), "second_pairs")
+    links = links.union(written(_verified(second, texts, shingle), "verified"))
     roots = connected_components(links)
-    named = least.select(*fp, F.col("id").alias("node")).join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("component"))
-    return each.join(named, fp).select("id", "component")
+    known = least.select(*fp, F.col("id").alias("node")).join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("component"))
+    return each.join(known, fp).select("id", "component")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

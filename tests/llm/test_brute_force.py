@@ -271,6 +271,28 @@ def test_near_copies_of_five_word_shingles_are_one_group(spark):
         assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_similarity_just_above_and_below_the_limit(spark):
+    rng = random.Random(80)
+    rows, pairs = [], []
+    for g in range(260):
+        n = rng.choice((9, 30, 100, 300))
+        words = [f"t{rng.randint(0, 99999)}" for _ in range(n)]
+        other = list(words)
+        for _ in range(max(1, round((n - 4) / 5 * rng.uniform(0.1, 0.28)))):
+            other[rng.randrange(n)] = f"new{rng.randint(0, 99999)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other if rng.random() < 0.7 else words[: round(n * rng.uniform(0.7, 0.95))]))]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    for g in range(260):
+        a, b = grams[2 * g], grams[2 * g + 1]
+        if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+            pairs.append((2 * g, 2 * g + 1))
+    assert 60 < len(pairs) < 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cap in (4096, 4):
+        got = {r.id: r.component for r in simhash_bitsliced.similar_components(df, bucket_rows=cap).collect()}
+        assert got == roots(range(520), pairs)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, k) for k in range(501, 560)]
