@@ -6,7 +6,7 @@ item gives its own words, and every item at `threshold` or more is retrieved. Mo
 bound that WAND rests on: an item's common words together score under the threshold, so a passage must hold enough of
 its other words. What is left goes through block-max WAND: cursors over the postings, a pivot from term maxima, and
 blocks skipped by their own maxima. A retrieved item counts as leaked if the passage holds at least `overlap` of its
-five-word shingles, and of the words of its question and of its answer each.
+five-word shingles, and, where items have an answer of their own, of the words of its question and of its answer each.
 """
 
 from __future__ import annotations
@@ -54,10 +54,11 @@ class Item:
     shingles: set[tuple[bytes, ...]]
     question: set[bytes]
     answer: set[bytes]
+    own_answer: bool
 
 
 def item_of(item_id: int, text: str | None, answer: str | None = None) -> Item | None:
-    """An item; without an answer of its own, the last quarter of its text (a word at least) is taken for it."""
+    """An item; without an answer of its own, the last quarter of its text (a word at least) is shown as it, but decides nothing."""
     tokens = words(text)
     if answer is None:
         cut = len(tokens) - max(1, len(tokens) // 4)
@@ -65,7 +66,7 @@ def item_of(item_id: int, text: str | None, answer: str | None = None) -> Item |
     else:
         question, final = tokens, words(answer)
         tokens = question + final
-    return Item(item_id, tokens, shingles(tokens), set(question), set(final)) if tokens else None
+    return Item(item_id, tokens, shingles(tokens), set(question), set(final), answer is not None) if tokens else None
 
 
 @dataclass
@@ -183,7 +184,7 @@ class Index:
                 item = self.items[n]
                 whole = len(item.shingles & own) / len(item.shingles) if len(item.tokens) >= 5 else float(_holds(part, item.tokens))
                 q, a = (len(x & have) / len(x) if x else 1.0 for x in (item.question, item.answer))
-                if min(whole, q, a) >= overlap - 1e-9 and (item.item_id not in best or best[item.item_id][1:3] < (score, whole)):
+                if (min(whole, q, a) if item.own_answer else whole) >= overlap - 1e-9 and (item.item_id not in best or best[item.item_id][1:3] < (score, whole)):
                     best[item.item_id] = (item.item_id, score, whole, q, a)
         return [best[i] for i in sorted(best)]
 

@@ -326,6 +326,16 @@ def test_wand_equals_exhaustive_scores_and_leaks_are_found(spark, documents):
     assert {(r.doc_id, r.item_id) for r in sharded} == got
 
 
+def test_leaks_that_lack_the_end_of_an_item_are_found(spark):
+    long, short = [f"q{i}" for i in range(59)], [f"s{i}" for i in range(15)]
+    docs = [(1, " ".join(["before", *long[:51], "after"])), (2, " ".join([*short[:14], "other"])), (3, " ".join(long[:40]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda items, schema: {(r.doc_id, r.item_id) for r in decontaminate_bm25.op9_decontamination(docs, spark.createDataFrame(items, schema)).collect()}
+    assert found([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string") == {(1, 1), (2, 2)}
+    parted = [(1, " ".join(long[:49]), " ".join(long[49:])), (2, " ".join(short[:12]), " ".join(short[12:]))]
+    assert found(parted, "item_id long, text string, answer string") == set()
+
+
 def test_maximum_flow_gives_the_least_cut():
     rng = np.random.default_rng(10)
     for _ in range(60):
