@@ -52,6 +52,8 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DRAWS = 20
+#: Draws in the plain forms; later ones of mails and names take longer forms, of which there are enough for any corpus.
+_PLAIN_DRAWS = 3
 
 
 def _may_have_any(x):
@@ -161,14 +163,21 @@ def _with_check_digit(digits):
 
 
 def _name(canonical, key: str, attempt):
-    """A given name of the gender and script if there was one, and a surname; each depends on its own word."""
+    """A given name of the gender and script if there was one, and a surname; each depends on its own word.
+
+    After the plain draws surnames are longer and depend on the whole name.
+    """
     gender, words = F.substring(canonical, 1, 1), F.split(F.substring_index(canonical, ":", -1), " ")
 
+    whole = _noise(key, F.lit("whole name"), canonical, attempt)
+
     def word(w, i):
         noise = _noise(key, F.lit("name"), w, attempt)
         out = F.lit("")
         for script, syllables in SYLLABLES.items():
-            surname = F.concat(*[_pick(syllables, _number(noise, F.lit(k))) for k in range(1, 4)], F.lit(_ENDING[script]))
+            surname = F.concat(*[_pick(syllables, _number(noise, F.lit(k))) for k in range(1, 4)])
+            longer = F.concat(*[_pick(syllables, _number(whole, F.lit(k))) for k in range(6)])
+            surname = F.concat(surname, F.when(attempt >= _PLAIN_DRAWS, longer).otherwise(F.lit("")), F.lit(_ENDING[script]))
             given = F.when(gender == "m", _pick(GIVEN[f"m-{script}"], _number(noise, F.lit(0))))
             given = given.when(gender == "f", _pick(GIVEN[f"f-{script}"], _number(noise, F.lit(0)))).otherwise(_pick(GIVEN[f"n-{script}"], _number(noise, F.lit(0))))
             own = F.when((i == 0) & (F.size(words) > 1), given).otherwise(F.initcap(surname))
@@ -184,7 +193,8 @@ def _surrogate(kind, canonical, attempt, key: str):
     noise = _noise(key, kind, canonical, attempt)
     user, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
     sub = F.regexp_extract(domain, r"\A(.*\.)?[^.]+\.[^.]+\z", 1)
-    mail = F.concat(_like(F.concat(user, F.lit("@"), sub), noise), F.lit("example."), F.substring_index(domain, ".", -1))
+    label = F.when(attempt >= _PLAIN_DRAWS, F.concat(F.substr(noise, F.lit(113), F.lit(16)), F.lit("."))).otherwise(F.lit(""))
+    mail = F.concat(_like(F.concat(user, F.lit("@"), sub), noise), label, F.lit("example."), F.substring_index(domain, ".", -1))
     card = _with_check_digit(F.concat(F.substring(canonical, 1, 1), _like(F.substr(canonical, F.lit(2)), noise)))
     octets = F.transform(F.split(canonical, r"\."), lambda o, i: (_number(noise, i) % 254 + 1).cast("string"))
     country, local = F.substring_index(canonical, " ", 1), F.substring_index(canonical, " ", -1)
@@ -219,8 +229,9 @@ def _written_like(kind, lead, rest, surrogate):
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (kind, canonical) -> with surrogate: keyed, distinct for each kind, and no entity of the corpus.
 
-    Of entities that draw the same surrogate the least keeps it and the others draw again; after _DRAWS draws without
-    success (a kind with fewer forms than entities) it raises.
+    Of entities that draw the same surrogate the least keeps it and the others draw again, mails and names in longer forms
+    after _PLAIN_DRAWS draws. Kinds of fixed digits and letters have no longer form: should one still collide after _DRAWS
+    draws (most of its forms are in the corpus), it raises.
     """
     drawn = entities.withColumn("attempt", F.lit(0))
     for _ in range(_DRAWS):

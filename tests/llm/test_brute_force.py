@@ -113,6 +113,14 @@ def test_many_addresses_keep_distinct_surrogates(spark):
     assert out[out.doc_id < 1000].text.nunique() == 300 and out[out.doc_id >= 1000].text.nunique() == 10
 
 
+def test_more_entities_than_plain_forms_keep_distinct_surrogates(spark):
+    rows = [(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}@host{i // 26}.com") for i in range(78)]
+    rows += [(1000 + i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}n Smith") for i in range(60)]
+    out = pii_surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").toPandas()
+    assert out.text.nunique() == 138 and not set(out.text) & {t for _, t in rows}
+    assert out[out.doc_id < 1000].text.str.endswith("example.com").all() and out[out.doc_id >= 1000].text.str.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+").all()
+
+
 def brute_repeats(docs, min_words):
     """Lines of each document in a run of min_words words or more that occurs earlier."""
     lines = {d: [(i, " ".join(x.lower().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for d, t in docs}
