@@ -38,6 +38,8 @@ SYLLABLES = {
 _ENDING = {"latin": "son", "cyrillic": "ов"}
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts.split())
 _INITIALS = "".join(sorted({t[0] for t in _TITLE.split("|")}))
+#: A capital and what follows it, inner capitals included: O'Brien, Smith-Jones, McDonald.
+_NAME_WORD = r"\p{Lu}(?:['’-]?\p{L})+"
 #: Kind -> pattern; earlier ones win. Each opens with what its first characters must be, which rules out most places at once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
@@ -48,7 +50,7 @@ PATTERNS = {
     "card": r"(?=\d)(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])",
     "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?",
+    "name": rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME_WORD}(?: (?!(?:{_TITLE})(?!\p{{L}})){_NAME_WORD})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DRAWS = 20
@@ -248,6 +250,18 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("no distinct surrogates: a kind has too few forms for its entities")
 
 
+def _without_titles(piece, known):
+    """piece with the names of known (old, new), met without their title, replaced: whole names first, then last words."""
+    longest = F.array_sort(known, lambda a, b: F.when(F.length(a["old"]) != F.length(b["old"]), F.length(b["old"]) - F.length(a["old"])).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+    def replace(text, name):
+        # a name word has letters, apostrophes and hyphens only, so it stands for itself in a pattern
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name["old"], F.lit(r"(?![\p{L}\p{N}])"))
+        return F.when(F.contains(text, name["old"]), F.regexp_replace(text, pattern, name["new"])).otherwise(text)
+
+    return F.when(F.size(known) > 0, F.aggregate(longest, piece, replace)).otherwise(piece)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its entities replaced, plus n_entities; such a column of docs is replaced, the others stay as they are.
 
@@ -266,8 +280,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     named = surrogates(each.groupBy("kind", "canonical").agg(F.count("*").alias("n")).drop("n"), key)
     mentions = each.join(named, ["kind", "canonical"])
     new = _written_like(F.col("kind"), F.col("lead"), F.col("rest"), F.col("surrogate"))
-    by_doc = mentions.select("__rid", "at", new.alias("new")).groupBy("__rid").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"))
-    pieces = F.split(F.col(text_col), ANY, -1)
+    whole = F.struct(F.col("rest").alias("old"), F.substring_index("surrogate", ":", -1).alias("new"))
+    last = F.struct(F.substring_index("rest", " ", -1).alias("old"), F.substring_index("surrogate", " ", -1).alias("new"))
+    last = F.struct(last["old"].alias("old"), F.substring_index(last["new"], ":", -1).alias("new"))
+    known = F.when(F.col("kind") == "name", F.array(whole, last))
+    by_doc = mentions.select("__rid", "at", new.alias("new"), known.alias("known")).groupBy("__rid")
+    by_doc = by_doc.agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("__known"))
+    pieces = F.transform(F.split(F.col(text_col), ANY, -1), lambda p: _without_titles(p, F.col("__known")))
     joined = F.zip_with(pieces, F.col("__new.new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     done = hits.join(by_doc, "__rid").withColumn(text_col, F.array_join(joined, "")).withColumn("n_entities", F.size("__new").cast("long"))
     return clean.unionByName(done.select(*rows.columns, "n_entities"))

@@ -121,6 +121,15 @@ def test_more_entities_than_plain_forms_keep_distinct_surrogates(spark):
     assert out[out.doc_id < 1000].text.str.endswith("example.com").all() and out[out.doc_id >= 1000].text.str.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+").all()
 
 
+def test_whole_names_go_with_and_without_title(spark):
+    rows = ["Mr John Smith-Jones came.", "Mr O'Brien came.", "Mr McDonald came.", "Dr Mary Ann Evans came.", "Mr John Smith came. John Smith left, Smith said. Smithson stays."]
+    out = [r.text for r in pii_surrogates.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for text, private in zip(out, ("John Jones", "Brien", "Donald", "Mary Ann Evans", "John"), strict=True):
+        assert not any(x in text for x in private.split()), text
+    name = out[4].split(" came")[0].removeprefix("Mr ")
+    assert out[4] == f"Mr {name} came. {name} left, {name.split()[1]} said. Smithson stays."
+
+
 def brute_repeats(docs, min_words):
     """Lines of each document in a run of min_words words or more that occurs earlier."""
     lines = {d: [(i, " ".join(x.lower().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for d, t in docs}
