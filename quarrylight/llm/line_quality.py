@@ -25,7 +25,7 @@ _SPACE = " \t\n\r\x0b\x0c"
 _ZERO_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _WINDOW = 8
 _FACTORS = np.random.default_rng(8).integers(1 << 62, size=_WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, line_hash array<long>, line_words array<long>"
+_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """The base counts of a whole text, its digest, and its distinct normalised lines with their words."""
+    """The base counts of a whole text, and its distinct normalised lines with their words."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -70,9 +70,8 @@ def measure(text: str | None) -> tuple:
         parts = line.lower().translate(_ZERO_DIGITS).split()
         per_line[xxhash.xxh64_intdigest(b" ".join(parts))] += len(parts)
     hashes = np.fromiter(per_line, np.uint64, len(per_line)).view(np.int64)
-    digest = int(np.uint64(xxhash.xxh64_intdigest(raw)).astype(np.int64))
     dup = len(lines) - len(set(lines))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), digest, hashes, list(per_line.values())
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), hashes, list(per_line.values())
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -92,20 +91,23 @@ def quality(
 ) -> DataFrame:
     """docs (doc_id, text, source) -> one row a row of docs with base counts, removed_words, base_failed and kept.
 
-    Null sources are one host. Null and empty texts have no words and fail the base rules. Repeated rows are judged
-    each, and count once for a line. Other columns are ignored; an empty table gives an empty result.
+    A line's documents are the distinct doc_ids of the host that hold it, exact copies of a text included; a row without
+    doc_id is a document of its own. A line goes when it is in more than min_docs of them and in more than max_share of
+    the host's. Null sources are one host. Null and empty texts have no words and fail the base rules. Repeated rows are
+    judged each, and count once for a line. Other columns are ignored; an empty table gives an empty result.
     """
     picked = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("host"), F.col("text"))
     each = written(base_counts(picked).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "host", "m.*"), "line_counts")
-    once = each.groupBy("host", "digest").agg(F.min("rid").alias("rid"), F.first("line_hash").alias("line_hash")).select("host", "line_hash")
-    once = written(once, "texts")
-    limit = once.groupBy("host").count().select("host", F.greatest(F.lit(min_docs), F.col("count") * max_share).alias("limit"))
-    found = once.select("host", F.explode("line_hash").alias("h")).groupBy("host", "h").count().where(F.col("count") > min_docs)
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")).alias("row")).alias("document")
+    # distinct first, partly within each task, then counted: a line of a third of all rows is many small groups
+    sizes = each.select("host", document).distinct().groupBy("host").count()
+    limit = sizes.select("host", F.greatest(F.lit(min_docs), F.col("count") * max_share).alias("limit"))
+    found = each.select("host", F.explode("line_hash").alias("h"), document).distinct().groupBy("host", "h").count().where(F.col("count") > min_docs)
     common = found.alias("f").join(limit.alias("l"), F.expr("f.host <=> l.host")).where("f.count > l.limit").select("f.host", "f.h")
     lines = each.select("rid", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select("rid", "host", "x.line_hash", "x.line_words")
     hit = lines.alias("a").join(common.alias("c"), F.expr("a.line_hash = c.h and a.host <=> c.host"))
     removed = hit.groupBy("rid").agg(F.sum("line_words").alias("removed_words"))
-    out = each.drop("line_hash", "line_words", "digest").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = each.drop("line_hash", "line_words").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (left < min_words) | (F.col("removed_words") > max_removed * F.col("n_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -113,4 +115,5 @@ def quality(
 
 
 def op5_quality_rules(docs: DataFrame) -> DataFrame:
+    """A row per row of docs with the counts, base_failed and kept; nulls, ties, empty tables and the like as `quality` says."""
     return quality(docs)
