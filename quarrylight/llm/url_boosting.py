@@ -198,13 +198,19 @@ def _matrix(urls, hosts, paths, buckets, shares: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """labelled (url, blocked 0/1) -> the model. Rows with a null in either are left out.
 
-    Trees see at most settings.sample_rows rows, those of the least URL hashes; suffix statistics see all rows.
+    Trees see about settings.sample_rows distinct labelled URLs, those of the least hashes, weighing each once; suffix
+    statistics see all rows. Rows over a bound on the hash stay in their tasks, so what reaches the driver is the sample,
+    whatever the input.
     """
     host, path = split_url(F.col("url"))
     rows = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("bucket", suffix_bucket(F.col("host")))
+    rows = rows.withColumn("bucket", suffix_bucket(F.col("host"))).withColumn("h", F.xxhash64("url", "blocked"))
     shares = suffix_shares(rows)
-    sample = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(settings.sample_rows).toPandas()
+    different = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 1.1 * settings.sample_rows / max(1, different))
+    least = rows.where(F.col("h") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)))
+    sample = least.groupBy("h", "url", "blocked").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("bucket").alias("bucket"))
+    sample = sample.toPandas().sort_values(["h", "url", "blocked"]).head(settings.sample_rows)
     x = _matrix(sample["url"], sample["host"], sample["path"], sample["bucket"], shares)
     return boost(x, sample["blocked"].to_numpy(float), settings, shares)
 

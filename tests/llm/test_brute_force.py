@@ -197,7 +197,29 @@ def test_quality_counts_and_line_limits(spark, documents):
     rows = [(i, f"{boiler}\n{own(i)}", "en", "h", 0) for i in range(40)]
     rows += [(100 + i, " ".join(letters(9000 + j) for j in range(30)), "en", "h", 0) for i in range(40)]
     kept = {r.doc_id: r.kept for r in line_quality.quality(spark.createDataFrame(rows, DOCS), min_docs=10, max_share=0.1).collect()}
-    assert all(kept[i] == (i % 2 == 0) for i in range(40)) and all(kept[100 + i] for i in range(40))
+    assert all(kept[i] == (i % 2 == 0) for i in range(40)) and not any(kept[100 + i] for i in range(40))
+    once = [(1000, t, "en", "h", 0) for _, t, *_ in rows[40:]] + [(2000 + i, own(100 + i), "en", "h", 0) for i in range(60)]
+    assert all(r.kept for r in line_quality.quality(spark.createDataFrame(once, DOCS), min_docs=10, max_share=0.1).where("doc_id = 1000").collect())
+    unnamed = [(None, *r[1:]) for r in once]
+    assert not any(r.kept for r in line_quality.quality(spark.createDataFrame(unnamed, DOCS), min_docs=10, max_share=0.1).where("doc_id is null and n_words = 30").collect())
+
+
+def test_line_frequency_equals_brute_force(spark, documents):
+    got = {r.doc_id: (r.removed_words, r.kept) for r in line_quality.quality(documents, min_docs=3, max_share=0.02).collect()}
+    norm = lambda x: b" ".join(x.encode().lower().translate(bytes.maketrans(b"123456789", b"000000000")).split())
+    rows = documents.collect()
+    hosts, holders = defaultdict(set), defaultdict(set)
+    for r in rows:
+        hosts[r.source].add(r.doc_id)
+        for x in r.text.split("\n"):
+            if x.encode().split():
+                holders[r.source, norm(x)].add(r.doc_id)
+    for r in rows:
+        removed = sum(len(norm(x).split()) for x in r.text.split("\n") if x.encode().split() and len(holders[r.source, norm(x)]) > max(3, 0.02 * len(hosts[r.source])))
+        n = len(r.text.encode().split())
+        assert got[r.doc_id][0] == removed
+        if n - removed < 20 or removed > 0.7 * n:
+            assert not got[r.doc_id][1]
 
 
 def test_mix_meets_its_targets(spark):
@@ -227,10 +249,59 @@ def test_mix_meets_its_targets(spark):
     assert got.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
 
 
+def dense_multiplier(sizes, target, cap):
+    """The root of the dual's gradient by plain bisection over all documents."""
+    sizes = np.array([x for x in sizes if x], float)
+    lo, hi = -60.0 / sizes.min(), 60.0 / sizes.min()
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        over = (sizes * np.minimum(cap, np.exp(np.minimum(mid * sizes, 50)))).sum() > target
+        lo, hi = (lo, mid) if over else (mid, hi)
+    return (lo + hi) / 2
+
+
+def test_newton_equals_a_dense_solver(spark):
+    rng = random.Random(60)
+    sizes = {k: [int(rng.paretovariate(1.1) * 3) for _ in range(n)] for k, n in (("a", 2000), ("b", 40), (None, 300), ("d", 1))}
+    share = {"a": 0.15, "b": 2.9, None: 1.0, "d": 0.5}
+    hist = [(k, s, n) for k, own in sizes.items() for s, n in Counter(own).items()] + [("e", 0, 7)]
+    targets = [(k, sum(own), sum(own) * share[k]) for k, own in sizes.items()] + [("e", 0, 0.0)]
+    targets.append(("f", 30, 90.0))
+    hist.append(("f", 10, 3))
+    got = mixing_entropy.balance(spark.createDataFrame(hist, "source string, size long, n long"), spark.createDataFrame(targets, "source string, source_size long, target double"))
+    lam = {r.source: r.lam for r in got.collect()}
+    for k, own in sizes.items():
+        rates = np.minimum(3, np.exp(lam[k] * np.array(own)))
+        assert (rates * own).sum() == pytest.approx(share[k] * sum(own), rel=2e-6)
+        assert lam[k] == pytest.approx(dense_multiplier(own, share[k] * sum(own), 3), rel=1e-4, abs=1e-9)
+    assert lam["e"] == 0 and np.exp(lam["f"] * 10) == pytest.approx(3)
+
+
+def test_rates_are_tilted_by_size(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), "en", "ab"[i % 3 == 0], 0) for i in range(600)]
+    got = mixing_entropy.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    for _, own in got.groupby("source"):
+        free = own[own.rate < 3]
+        lam = np.log(free.rate) / free["size"]
+        assert lam.max() - lam.min() < 1e-9 and free.rate.nunique() > 5
+
+
+def test_repeated_rows_share_copies_and_keep_their_rows(spark):
+    rows = [(1, "one two three", "en", "a", 0), (1, "four five six", "en", "a", 0), (None, "seven eight nine", "en", "a", 0)] * 40
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing_entropy.mix(df, weight=lambda rank: rank + 1).toPandas()
+    assert len(got) == 120 and got.taken.sum() == 360
+    out = mixing_entropy.repeated_to_mix(df)
+    assert out.count() == 120 and out.where("doc_id is null").count() == 40 and out.columns == [*df.columns, "copy"]
+
+
 def test_trees_learn_and_rules_win(spark):
     x = np.random.default_rng(7).normal(size=(4000, 5))
     y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     model = url_boosting.boost(x[:3000], y[:3000])
+    copies = [("http://same.org/x", 1)] * 3000 + [(f"http://{'ab'[i % 2]}{i}.org/{'en' if i % 2 else 'shop'}/{i}", i % 2) for i in range(400)]
+    small = url_boosting.fit(spark.createDataFrame(copies, "url string, blocked int"), url_boosting.Settings(sample_rows=200))
+    assert len(small.trees) == url_boosting.Settings().trees and abs(small.start) < 0.5
     assert ((model.score(x[3000:]) > 0) == y[3000:]).mean() > 0.93
     urls = ["http://EXAMPLE.com/en/1", "https://www.example.com/en/x", "http://a.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://b.org/x", "http://a.net/en/1", "nothing", None, "x://h?q"]
     got = url_boosting.op7_url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
