@@ -1,11 +1,14 @@
 """Line deduplication by winnowing over line hashes, in DataFrame expressions alone.
 
-A window starts at a line and takes lines until it has `min_words` words (and likewise leftwards from its last line).
-The least line hash of a window is its fingerprint: two equal runs of min_words words or more hold an equal window and
-so select an equal fingerprint. Fingerprints are joined by position with what they stand for, the window's content;
-windows that start later than the first of their content are repeats. A repeated run is covered by its windows: those
-that run right from its lines extend the match to the right, those that run left from its lines to the left. So the
-deleted lines are exactly those in a run of min_words words or more that occurs earlier, in document order.
+A window starts at a line and takes lines until it has `min_words` words, or takes them leftwards from its last line.
+The line of least hash in a window is its fingerprint, and a line that is the least of many windows is one fingerprint at
+one position (a seed): two equal runs of min_words words or more hold an equal window, so both have a seed of that hash
+at the same line of the run. Seeds are joined by hash: those whose hash has no second position go, which is most, and
+with them every window they stand for. From the seeds that remain a match extends both ways as far as lines stay equal.
+Line by line that would pair the members of a group, so it goes by the seed's windows: those that start at earlier lines
+carry the match to the left, those that end at later lines to the right, and a window whose lines (hash and contents, 128
+bits) were first met elsewhere earlier is a repeat. So the deleted lines are exactly those in a run of min_words words or
+more that occurs earlier, in document order.
 
 Only line hashes and positions are shuffled until the surviving lines are put together. Nothing pairs documents: each
 window meets just the first place of its content.
@@ -28,8 +31,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.select("rid", "doc_id", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.cast("long").alias("words"))
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Every window of every line, rightwards and leftwards: its span, fingerprint and content."""
+def seeds(lines: DataFrame, min_words: int) -> DataFrame:
+    """(rid, doc_id, at, fingerprint, windows): each selected line once, with the windows (first, last, content) of which it is the least."""
     by_doc = Window.partitionBy("rid").orderBy("pos")
     lines = lines.withColumn("upto", F.sum("words").over(by_doc))
     lines = lines.withColumn("before", F.col("upto") - F.col("words")).withColumn("total", F.sum("words").over(Window.partitionBy("rid")))
@@ -37,32 +40,27 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     left = Window.partitionBy("rid").orderBy("upto").rangeBetween(1 - min_words, 0)
 
     def of(frame, far):
-        return F.struct(
-            F.min("pos").over(frame).alias("first"),
-            F.max("pos").over(frame).alias("last"),
-            F.min("a").over(frame).alias("fingerprint"),
-            F.xxhash64(F.collect_list("a").over(frame)).alias("a"),
-            F.xxhash64(F.collect_list("b").over(frame)).alias("b"),
-            far.alias("whole"),
-        )
-
-    both = lines.select(
-        "rid",
-        "doc_id",
-        of(right, F.col("total") - F.col("before") >= min_words).alias("r"),
-        of(left, F.col("upto") >= min_words).alias("l"),
-    )
-    each = both.select("rid", "doc_id", F.posexplode(F.array("r", "l")).alias("way", "w")).where("w.whole")
-    return each.select("rid", "doc_id", "way", "w.first", "w.last", "w.fingerprint", "w.a", "w.b")
+        least = F.min(F.struct("a", "pos")).over(frame)
+        span = F.struct(F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.xxhash64(F.collect_list("b").over(frame)).alias("content"))
+        return F.when(far, F.struct(least["a"].alias("fingerprint"), least["pos"].alias("at"), span.alias("span")))
+
+    both = lines.select("rid", "doc_id", of(right, F.col("total") - F.col("before") >= min_words).alias("r"), of(left, F.col("upto") >= min_words).alias("l"))
+    each = both.select("rid", "doc_id", F.explode(F.array_compact(F.array("r", "l"))).alias("w"))
+    # the windows of a line lie in its document's task, so this needs no shuffle
+    each = each.select("rid", "doc_id", "w.at", "w.fingerprint", "w.span")
+    return each.groupBy("rid", "doc_id", "at", "fingerprint").agg(F.collect_set("span").alias("windows"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs (rid, doc_id, text) -> (rid, deleted): positions of the lines that lie in a repeated run."""
-    key = ["fingerprint", "way", "a", "b"]
-    spots = written(_windows(_lines(docs), min_words), "windows")
+    selected = written(seeds(_lines(docs), min_words), "seeds")
+    again = selected.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    met = selected.join(again, "fingerprint", "left_semi").select("rid", "doc_id", "fingerprint", F.explode("windows").alias("w"))
+    met = written(met.select("rid", "doc_id", "fingerprint", "w.*"), "windows")
+    key = ["fingerprint", "content"]
     place = F.struct("doc_id", "rid", "first")
-    first = spots.groupBy(*key).agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spots.join(first, key).where(place > F.col("origin"))
+    first = met.groupBy(*key).agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = met.join(first, key).where(place > F.col("origin"))
     spans = later.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     return spans.select("rid", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("deleted"))
 
@@ -106,7 +104,7 @@ def keep_deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_deleted and the text that stays."""
+    """doc_id, n_lines, n_deleted and the text that stays, a row per row; nulls, ties, empty tables and the like as `dedup_lines` says."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
