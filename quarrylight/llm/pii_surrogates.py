@@ -3,8 +3,8 @@
 Entities are found by one pattern, typed, and brought to a canonical form (lower-case mail, digits of a phone or card,
 name without its title). Each distinct canonical entity gets one surrogate, drawn from SHA-256 of the key, its type and
 itself, so that all its mentions stay one person's. Surrogates keep the type and the format: digits stay digits, letters
-stay letters of their case and script, cards keep issuer and check digit, phones their country code and punctuation, names
-their title's gender. A surrogate that another entity has too, or that is itself an entity of the corpus, is drawn again
+stay letters of their case and script, cards keep issuer and check digit, accounts get right check digits, phones keep
+their country code and punctuation, names their title's gender. Sixteen digits without a card's check digit stay. A surrogate that another entity has too, or that is itself an entity of the corpus, is drawn again
 until none is, so distinct entities stay distinct. A mention is then written in the format in which it stood.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 #: Titles before a name, by gender.
 TITLES = {
@@ -36,32 +36,38 @@ SYLLABLES = {
     "cyrillic": "ба бе во га да де жа за ка ко ла ле ли ма ме ми на не но па пе ра ре ро са се си та те то ца чи ша",
 }
 _ENDING = {"latin": "son", "cyrillic": "ов"}
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts.split())
-_INITIALS = "".join(sorted({t[0] for t in _TITLE.split("|")}))
+#: Words that announce a name without a title.
+CUES = ("my name is", "My name is", "Name:")
+#: The letters of each script, small.
+LETTERS = {"IsLatin": "abcdefghijklmnopqrstuvwxyz", "IsCyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω"}
+_TITLES = [t for ts in TITLES.values() for t in ts.split()]
+_TITLE = "|".join([*_TITLES, *CUES])
+_CAPITAL_TITLE = "|".join(dict.fromkeys(t.upper() for t in _TITLES))
+_INITIALS = "".join(sorted({t[0] for t in f"{_TITLE}|{_CAPITAL_TITLE}".split("|")}))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: A capital and what follows it, inner capitals included: O'Brien, Smith-Jones, McDonald.
 _NAME_WORD = r"\p{Lu}(?:['’-]?\p{L})+"
 #: Kind -> pattern; earlier ones win. Each opens with what its first characters must be, which rules out most places at once.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "secret": r"(?=[AaPpSsTt])\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
+    "secret": r"(?=[AaPpSsTt])\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}+",
     "access_key": r"(?=A[KS]IA)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv4": r"(?=\d)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "ipv4": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?=\d)(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])",
-    "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d.-])0\d{2,4}[ /]\d{5,8}(?![\d-]))",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME_WORD}(?: (?!(?:{_TITLE})(?!\p{{L}})){_NAME_WORD})*",
+    "name": rf"(?=[{_INITIALS}])(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_NAME_WORD}(?: (?!(?:{_TITLE})(?!\p{{L}})){_NAME_WORD})*|(?:{_CAPITAL_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_DRAWS = 20
-#: Draws in the plain forms; later ones of mails and names take longer forms, of which there are enough for any corpus.
-_PLAIN_DRAWS = 3
+#: Draws in the plain forms; later ones take freer forms, and after the second number longer ones, which never run short.
+_PLAIN_DRAWS, _FREE_DRAWS = 3, 6
 
 
 def _may_have_any(x):
     """False only for texts that no pattern can match: without @, digit, = or :, and title."""
     out = F.contains(x, F.lit("@")) | F.contains(x, F.lit("=")) | F.contains(x, F.lit(":")) | x.rlike("[0-9]") | F.contains(x, F.lit("AKIA")) | F.contains(x, F.lit("ASIA"))
-    for title in _TITLE.split("|"):
+    for title in f"{_TITLE}|{_CAPITAL_TITLE}".split("|"):
         out = out | F.contains(x, F.lit(title))
     return out
 
@@ -71,7 +77,18 @@ def _kind(e):
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         out = F.when(e.rlike(rf"\A(?:{pattern})\z"), F.lit(kind)).otherwise(out)
-    return out
+    return F.when((out == "card") & ~_luhn(_digits(e)), F.lit(None).cast("string")).otherwise(out)
+
+
+def _luhn(digits):
+    """Whether the check digit is right: other 16 digits are a number, not a card."""
+
+    def add(total, i):
+        d = F.substr(digits, i, F.lit(1)).try_cast("int")
+        doubled = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+        return total + F.when((F.length(digits) - i) % 2 == 1, doubled).otherwise(d)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add) % 10 == 0
 
 
 def _digits(x):
@@ -82,7 +99,7 @@ def _lead(kind, e):
     """What stays in front of the replaced part: the name of a secret, a title, a key's or an account's prefix."""
     return (
         F.when(kind == "secret", F.regexp_extract(e, r"\A([A-Za-z_-]+\s*[=:]\s*[\"']?)", 1))
-        .when(kind == "name", F.regexp_extract(e, rf"\A((?:{_TITLE})\.? )", 1))
+        .when(kind == "name", F.regexp_extract(e, rf"\A((?:{_TITLE}|{_CAPITAL_TITLE})\.? )", 1))
         .when(kind == "access_key", F.substring(e, 1, 4))
         .when(kind == "iban", F.substring(e, 1, 2))
         .when(kind == "phone", F.regexp_extract(e, r"\A(\+\d{1,3}(?=[ .(-]))", 1))
@@ -91,10 +108,10 @@ def _lead(kind, e):
 
 
 def _gender(lead):
-    title = F.regexp_replace(lead, r"[. ]+\z", "")
+    title = F.upper(F.regexp_replace(lead, r"[. ]+\z", ""))
     out = F.lit("n")
     for g, titles in TITLES.items():
-        out = F.when(title.isin(*titles.split()), F.lit(g)).otherwise(out)
+        out = F.when(title.isin(*(t.upper() for t in titles.split())), F.lit(g)).otherwise(out)
     return out
 
 
@@ -140,17 +157,20 @@ def _like(x, noise):
 
     def swap(c, i):
         n = _number(noise, i)
-        return (
-            F.when(hexadecimal, _letter("0123456789abcdef", n))
-            .when(c.rlike("[0-9]"), _letter("0123456789", n))
-            .when(c.rlike("[a-z]"), _letter("abcdefghijklmnopqrstuvwxyz", n))
-            .when(c.rlike("[A-Z]"), _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
-            .otherwise(c)
-        )
+        out = F.when(hexadecimal, _letter("0123456789abcdef", n)).when(c.rlike("[0-9]"), _letter("0123456789", n))
+        for script, letters in LETTERS.items():
+            own = c.rlike(rf"\p{{{script}}}")
+            out = out.when(own & c.rlike(r"\p{Lu}"), _letter(letters.upper(), n)).when(own & c.rlike(r"\p{L}"), _letter(letters, n))
+        return out.when(c.rlike(r"\p{L}"), _letter(LETTERS["IsLatin"], n)).otherwise(c)
 
     return F.array_join(F.transform(_chars(x), swap), "")
 
 
+def _any_like(x, noise, alphabet: str):
+    """As many characters of the alphabet as x has."""
+    return F.array_join(F.transform(_chars(x), lambda c, i: _letter(alphabet, _number(noise, i))), "")
+
+
 def _with_check_digit(digits):
     """digits with its last one set so that the Luhn sum is right."""
     n = F.length(digits)
@@ -164,6 +184,17 @@ def _with_check_digit(digits):
     return F.concat(F.substr(digits, F.lit(1), n - 1), ((10 - total % 10) % 10).cast("string"))
 
 
+def _iban(country, bban):
+    """An account number whose check digits are right (ISO 7064, modulo 97)."""
+
+    def add(rest, c):
+        n = F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(n > 9, F.lit(100)).otherwise(F.lit(10)) + n) % 97
+
+    rest = F.aggregate(_chars(F.concat(bban, country, F.lit("00"))), F.lit(0), add)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), bban)
+
+
 def _name(canonical, key: str, attempt):
     """A given name of the gender and script if there was one, and a surname; each depends on its own word.
 
@@ -197,18 +228,27 @@ def _surrogate(kind, canonical, attempt, key: str):
     sub = F.regexp_extract(domain, r"\A(.*\.)?[^.]+\.[^.]+\z", 1)
     label = F.when(attempt >= _PLAIN_DRAWS, F.concat(F.substr(noise, F.lit(113), F.lit(16)), F.lit("."))).otherwise(F.lit(""))
     mail = F.concat(_like(F.concat(user, F.lit("@"), sub), noise), label, F.lit("example."), F.substring_index(domain, ".", -1))
-    card = _with_check_digit(F.concat(F.substring(canonical, 1, 1), _like(F.substr(canonical, F.lit(2)), noise)))
+    free, longer = attempt >= _PLAIN_DRAWS, attempt >= _FREE_DRAWS
+    if_longer = lambda x: F.when(longer, x).otherwise(F.lit(""))
+    some_digits = F.lpad(F.conv(F.substr(noise, F.lit(97), F.lit(7)), 16, 10), 9, "0")
+    card = _with_check_digit(F.concat(F.substring(canonical, 1, 1), _like(F.substr(canonical, F.lit(2)), noise), if_longer(F.substr(some_digits, F.lit(1), F.lit(3)))))
     octets = F.transform(F.split(canonical, r"\."), lambda o, i: (_number(noise, i) % 254 + 1).cast("string"))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substr(noise, i * 4 + 1, F.lit(4)))
+    address = F.when(longer, F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))).otherwise(F.array_join(octets, "."))
     country, local = F.substring_index(canonical, " ", 1), F.substring_index(canonical, " ", -1)
-    account = F.concat(F.substring(canonical, 1, 2), _like(F.substr(canonical, F.lit(3)), noise))
+    bban = F.when(free, _any_like(F.substr(canonical, F.lit(5)), noise, "0123456789")).otherwise(_like(F.substr(canonical, F.lit(5)), noise))
+    secret = F.when(free, _any_like(canonical, noise, LETTERS["IsLatin"] + "0123456789")).otherwise(_like(canonical, noise))
+    token = F.when(free, _any_like(canonical, noise, LETTERS["IsLatin"].upper() + "0123456789")).otherwise(_like(canonical, noise))
     return (
         F.when(kind == "email", mail)
         .when(kind == "card", card)
-        .when(kind == "ipv4", F.array_join(octets, "."))
-        .when(kind == "phone", F.concat_ws(" ", country, _like(local, noise)))
-        .when(kind == "iban", account)
+        .when(kind == "ipv4", address)
+        .when(kind == "phone", F.concat_ws(" ", country, F.concat(_like(local, noise), if_longer(some_digits))))
+        .when(kind == "iban", _iban(F.substring(canonical, 1, 2), F.concat(bban, if_longer(some_digits))))
         .when(kind == "name", F.concat(F.substring(canonical, 1, 2), _name(canonical, key, attempt)))
-        .otherwise(_like(canonical, noise))
+        .when(kind == "secret", F.concat(secret, if_longer(F.substr(noise, F.lit(113), F.lit(16)))))
+        .when(kind == "access_key", F.concat(token, if_longer(F.upper(F.substr(noise, F.lit(113), F.lit(16))))))
+        .otherwise(F.concat(_like(canonical, noise), if_longer(some_digits)))
     )
 
 
@@ -221,23 +261,27 @@ def _written_like(kind, lead, rest, surrogate):
         before = F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), F.when(kind == "iban", F.lit("[^0-9A-Z]")).otherwise(F.lit("[^0-9]")), F.lit("")))
         return F.when(F.regexp_like(c, slots), F.substr(flat, before, F.lit(1))).otherwise(c)
 
-    laid = F.array_join(F.transform(_chars(rest), place), "")
-    cased = F.array_join(F.zip_with(_chars(surrogate), _chars(rest), lambda s, r: F.when(r.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
+    whole = F.length(F.regexp_replace(rest, F.when(kind == "iban", F.lit("[^0-9A-Z]")).otherwise(F.lit("[^0-9]")), F.lit("")))
+    laid = F.when(F.length(flat) == whole, F.array_join(F.transform(_chars(rest), place), "")).otherwise(flat)
+    cased = F.array_join(F.zip_with(_chars(surrogate), _chars(rest), lambda s, r: F.when(r.rlike(r"\p{Lu}"), F.upper(s)).otherwise(s)), "")
     mail = F.when(F.length(surrogate) == F.length(rest), cased).otherwise(surrogate)
-    name = F.substring_index(surrogate, ":", -1)
+    plain = F.substring_index(surrogate, ":", -1)
+    name = F.when((F.upper(rest) == rest) & (F.length(rest) > 2), F.upper(plain)).otherwise(plain)
     return F.concat(lead, F.when(kind.isin("phone", "card", "ssn", "iban"), laid).when(kind == "email", mail).when(kind == "name", name).otherwise(flat))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (kind, canonical) -> with surrogate: keyed, distinct for each kind, and no entity of the corpus.
 
-    Of entities that draw the same surrogate the least keeps it and the others draw again, mails and names in longer forms
-    after _PLAIN_DRAWS draws. Kinds of fixed digits and letters have no longer form: should one still collide after _DRAWS
-    draws (most of its forms are in the corpus), it raises.
+    Of entities that draw the same surrogate the least keeps it and the others draw again: after _PLAIN_DRAWS draws in
+    freer forms (other characters of the kind), after _FREE_DRAWS in longer ones, of which there are enough for any
+    corpus, so that the draws end whatever the entities are.
     """
+    n = shuffle_partitions(entities.sparkSession)
     drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(_DRAWS):
-        drawn = written(drawn.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
+    while True:
+        spread = drawn.repartition(n, "kind", "canonical")  # a draw costs many hashes: not all in one task
+        drawn = written(spread.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
         held = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("holder"), F.count("*").alias("n"))
         shared = held.where("n > 1").select("kind", "surrogate", "holder")
         real = held.join(entities.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "surrogate", F.lit("").alias("holder"))
@@ -247,7 +291,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         checked = drawn.join(taken, ["kind", "surrogate"], "left")
         again = F.col("holder").isNotNull() & (F.col("holder") != F.col("canonical"))
         drawn = checked.select("kind", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt"))
-    raise ValueError("no distinct surrogates: a kind has too few forms for its entities")
 
 
 def _without_titles(piece, known):
@@ -277,21 +320,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     each = hits.select("__rid", F.posexplode("__found").alias("at", "e")).withColumn("kind", _kind(F.col("e"))).withColumn("lead", _lead(F.col("kind"), F.col("e")))
     each = each.withColumn("rest", F.expr("substr(e, length(lead) + 1)"))
     each = written(each.withColumn("canonical", _canonical(F.col("kind"), F.col("lead"), F.col("rest"))), "mentions")
-    named = surrogates(each.groupBy("kind", "canonical").agg(F.count("*").alias("n")).drop("n"), key)
-    mentions = each.join(named, ["kind", "canonical"])
-    new = _written_like(F.col("kind"), F.col("lead"), F.col("rest"), F.col("surrogate"))
+    named = surrogates(each.where("kind is not null").groupBy("kind", "canonical").agg(F.count("*").alias("n")).drop("n"), key)
+    mentions = each.join(named, ["kind", "canonical"], "left")
+    # what looks like an entity and isn't one (a number without a card's check digit) stays
+    new = F.coalesce(_written_like(F.col("kind"), F.col("lead"), F.col("rest"), F.col("surrogate")), F.col("e"))
     whole = F.struct(F.col("rest").alias("old"), F.substring_index("surrogate", ":", -1).alias("new"))
     last = F.struct(F.substring_index("rest", " ", -1).alias("old"), F.substring_index("surrogate", " ", -1).alias("new"))
     last = F.struct(last["old"].alias("old"), F.substring_index(last["new"], ":", -1).alias("new"))
     known = F.when(F.col("kind") == "name", F.array(whole, last))
-    by_doc = mentions.select("__rid", "at", new.alias("new"), known.alias("known")).groupBy("__rid")
-    by_doc = by_doc.agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("__known"))
+    by_doc = mentions.select("__rid", "at", new.alias("new"), known.alias("known"), F.col("surrogate").isNotNull().alias("real")).groupBy("__rid")
+    by_doc = by_doc.agg(F.count_if("real").alias("__real"), F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("__known"))
     pieces = F.transform(F.split(F.col(text_col), ANY, -1), lambda p: _without_titles(p, F.col("__known")))
     joined = F.zip_with(pieces, F.col("__new.new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    done = hits.join(by_doc, "__rid").withColumn(text_col, F.array_join(joined, "")).withColumn("n_entities", F.size("__new").cast("long"))
+    done = hits.join(by_doc, "__rid").withColumn(text_col, F.array_join(joined, "")).withColumn("n_entities", F.col("__real").cast("long"))
     return clean.unionByName(done.select(*rows.columns, "n_entities"))
 
 
 def op3_pii_surrogates(docs: DataFrame, key: str = "replace this key") -> DataFrame:
-    """doc_id, text with surrogates, n_entities."""
+    """doc_id, text with surrogates and n_entities, a row per row; nulls, ties, empty tables and the like as `pseudonymise` says."""
     return pseudonymise(docs.select("doc_id", "text"), key)
