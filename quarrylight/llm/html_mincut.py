@@ -5,15 +5,21 @@ is content; minus the logarithms of it and of its opposite are the costs of call
 and become the capacities of its edges from the source (content) and to the sink (boilerplate). Neighbouring blocks and
 blocks under the same parent are joined by smoothness edges whose capacity falls with their distance in the DOM. The
 maximum flow's minimum cut is the labelling of least cost; blocks on the source's side are the main text.
+
+No tag or class name decides by itself. The classifier weighs, each apart, what stands above a block: elements and whole
+names that mark boilerplate, below the nearest article or above it, by whether they hold most of the page's text; names
+that only contain such a word (has-sidebar, comments-open); article elements and names; and the block's own text. Its
+weights are fitted to labelled pages of many layouts, made by `training_pages`.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +33,7 @@ INLINE = frozenset(
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup; none of it is text of the page.
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object audio video canvas select".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg object audio video canvas select".split())
 #: Elements that an opening tag of the key closes.
 CLOSES = {
     "li": {"li"},
@@ -51,35 +57,69 @@ CHROME_WORDS = frozenset(
     "subscription tags toolbar topbar widget widgets".split()
 )
 ARTICLE_TAGS = frozenset("article main".split())
-ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
+ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
+#: Parts of a name that say nothing about what it holds.
+NEUTRAL_WORDS = frozenset("area bar block bottom box buttons col column container global group holder inner item left links list outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|</[^>]*(?:>|\Z)|([^<]+|<)", re.S
 )
-_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.!?,;:]")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+@lru_cache(maxsize=4096)
+def name_kind(name: str) -> tuple[bool, bool, bool]:
+    """(marks boilerplate by all it says, contains such a word beside others, marks an article by all it says)."""
+    parts = {x.lower() for x in _NAME_PARTS.findall(name)} - NEUTRAL_WORDS
+    chrome = parts & CHROME_WORDS
+    whole = bool(parts) and parts == chrome
+    return whole, bool(chrome) and not whole, bool(parts) and parts <= ARTICLE_WORDS
 
 
 class Node:
-    """An open element: what it and its ancestors say about the text in it."""
+    """An open element: what it and its ancestors say about the text in it.
 
-    __slots__ = ("article", "chrome", "depth", "number", "parent", "tag")
+    tag_in and name_in are the nearest boilerplate element and name below the nearest article; tag_out and name_out those
+    above it.
+    """
+
+    __slots__ = ("article", "depth", "hidden", "length", "mixed", "name_in", "name_out", "named_article", "number", "parent", "tag", "tag_in", "tag_out")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, number: int):
-        self.tag, self.parent, self.number = tag, parent, number
+        self.tag, self.parent, self.number, self.length = tag, parent, number, 0
         self.depth = parent.depth + 1 if parent else 0
-        named: set[str] = set()
-        hidden = False
+        whole = part = named_article = hidden = other = False
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
-                named.update(x.lower() for x in _NAME_PARTS.findall(m[2] or m[3] or m[4] or ""))
-            hidden = bool(_HIDDEN.search(attributes))
-        root = tag in ("html", "body")
-        self.chrome = bool(parent and parent.chrome) or tag in CHROME_TAGS or hidden or (not root and not named.isdisjoint(CHROME_WORDS))
-        self.article = bool(parent and parent.article) or tag in ARTICLE_TAGS or (not root and not named.isdisjoint(ARTICLE_WORDS))
+                key = m[1].lower()
+                value = m[2] or m[3] or m[4] or ""
+                if key in ("class", "id", "role"):
+                    for name in value.split():
+                        w, p, a = name_kind(name)
+                        whole, part, named_article, other = whole or w, part or p, named_article or a, other or not w
+                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+                    hidden = True
+        if tag in ("html", "body"):  # names of the whole page
+            part, whole, named_article = part or whole, False, False
+        article = tag in ARTICLE_TAGS
+        if (article or named_article) and other:  # one of several names of an article is no more than a hint
+            part, whole = part or whole, False
+        self.hidden = hidden or bool(parent and parent.hidden)
+        self.mixed = part or bool(parent and parent.mixed)
+        self.article = article or bool(parent and parent.article)
+        self.named_article = named_article or bool(parent and parent.named_article)
+        self.tag_in, self.name_in, self.tag_out, self.name_out = (parent.tag_in, parent.name_in, parent.tag_out, parent.name_out) if parent else (None, None, None, None)
+        if article or named_article:
+            self.tag_out, self.name_out = self.tag_in or self.tag_out, self.name_in or self.name_out
+            self.tag_in = self.name_in = None
+        if tag in CHROME_TAGS:
+            self.tag_in = self
+        if whole:
+            self.name_in = self
 
 
 class Block:
@@ -106,6 +146,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 while node.tag in INLINE and node.parent:
                     node = node.parent
                 out.append(Block(text, linked, node))
+                while node:
+                    node.length += len(text)
+                    node = node.parent
             parts.clear()
         linked = 0
 
@@ -162,53 +205,131 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Per block: bias, chrome above it, article above it, link share, length, sentence marks, heading or list item."""
+    """A row a block: bias; boilerplate elements and names around it, by place and by share of the page; articles; its own text."""
+    total = max(1, sum(len(b.text) for b in blocks))
+    framed = any(b.node.article or b.node.named_article for b in blocks)
     rows = []
     for b in blocks:
-        n = len(b.text)
+        n, node = len(b.text), b.node
+        above = (node.tag_in, node.name_in, node.tag_out, node.name_out)
+        inside = node.tag_in is None and node.name_in is None
+        own = inside and (node.article or node.named_article)
         rows.append(
             (
                 1.0,
-                float(b.node.chrome),
-                float(b.node.article and not b.node.chrome),
-                min(1.0, b.linked / n),
+                *(float(x is not None and 2 * x.length <= total) for x in above),
+                *(float(x is not None and 2 * x.length > total) for x in above),
+                float(node.mixed),
+                float(node.hidden),
+                float(node.article and inside),
+                float(node.named_article and inside),
+                float(framed and not node.article and not node.named_article),
+                min(1.0, b.linked / n) * (not own),
+                min(1.0, b.linked / n) * own,
                 min(1.0, n / 400),
                 min(1.0, len(_MARKS.findall(b.text)) / 4),
-                float(b.node.tag in ("li", "td", "th", "button", "caption")),
-                float(b.node.tag in ("h1", "h2", "h3")),
+                float(node.tag in ("li", "td", "th", "button", "caption")),
+                float(node.tag in ("h1", "h2", "h3")),
             )
         )
     return np.array(rows)
 
 
-#: Labelled pages for the classifier, written for it: (html, block is content, in block order).
-TRAINING = [
-    ('<nav><ul><li><a href=a>Home</a><li><a href=b>About us</a></ul></nav><article><h1>Rain</h1><p>It rained all day, and then some more.<p>Yes.</article><footer>(c) 2001 The Paper. All rights reserved.</footer>', "00" "111" "0"),
-    ('<div id=sidebar><p>Read also, every week, our best stories of the year.</div><main><p>The council met on Monday. It voted, late at night, for the plan.<ul><li>One vote against.<li>Two absent.</ul></main>', "0" "111"),
-    ('<div class="cookie-notice">We use cookies, as all do. Accept?</div><div class=post><h2>Notes</h2><p>Short.</p><blockquote>So it is said, and so it was done.</blockquote></div><section class=comments><p>Great post, thanks! I learned a lot.</section>', "0" "111" "0"),
-    ('<header><h1>Daily</h1></header><div class=ad>Buy now, pay later. Cheap.</div><article>Loose text, without any paragraph at all.<br>And more of it.<table><tr><td>Cell</table></article><form><label>Your mail</label></form>', "0" "0" "111" "0"),
-    ("<p>A page without any frame has only this paragraph. It is long enough, has marks, and no links.<p>And this one, which follows, says a little more; then it ends.", "11"),
-    ("<div><a href=1>Next page</a></div><div><a href=2>Previous page</a></div><div>Words of a story that goes on, and on, with commas. It ends here.</div><div><a href=3>Contact</a></div>", "00" "1" "0"),
-    ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><h1>Title of it</h1><p>The story is told in full, with care. Nothing is left out.", "00" "11"),
-    ('<article><header>By the desk, Monday.</header><p>Text.</p><aside>See also, again.</aside><p>More text.</p><div class="share"><a href=x>Tweet</a></div></article>', "0" "1" "0" "1" "0"),
-]
+#: Frames of the article in the labelled pages.
+_FRAMES = (
+    "<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>', '<div class="entry-content">{}</div>', '<article class="post-1 post comments-open">{}</article>',
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<article class="story social">{}</article>', '<main role="main"><article class="h-entry">{}</article></main>',
+    '<form id="aspnetForm"><div id="main-content">{}</div></form>', '<div class="x7"><div class="c2">{}</div></div>', '<section class="post-body">{}</section>',
+    '<div class="page-wrapper with-menu"><div class="article-text">{}</div></div>', '<div class="widget-free"><main>{}</main></div>', "<div>{}</div>", "{}",
+    '<div class="grid sidebar"><article>{}</article></div>', '<div class="widget"><main>{}</main></div>', '<section class="social"><div class="post">{}</div></section>',
+)
+#: Frames of boilerplate in the labelled pages.
+_LISTS = ("<nav>{}</nav>", '<div class="menu">{}</div>', '<ul id="site-nav">{}</ul>', '<div class="sidebar">{}</div>', '<div class="related-links">{}</div>', "<aside>{}</aside>", '<div class="breadcrumbs">{}</div>', "<footer>{}</footer>", "<div>{}</div>")
+_PROSE = (
+    '<section class="comments">{}</section>', '<div id="comments">{}</div>', '<ol class="comment-list">{}</ol>', '<div class="comments-area"><article class="comment">{}</article></div>', "<aside>{}</aside>",
+    '<div id="sidebar">{}</div>', '<div class="cookie-banner">{}</div>', '<div class="cookie-notice">{}</div>', "<footer>{}</footer>", '<div id="footer">{}</div>', "<header>{}</header>", '<div class="site-header">{}</div>',
+    '<div class="newsletter-signup">{}</div>', '<div class="ad">{}</div>', '<div class="advertisement">{}</div>', "<form>{}</form>", "<div hidden>{}</div>", '<div style="display:none">{}</div>', '<dialog class="modal">{}</dialog>',
+    '<div class="gdpr-consent">{}</div>', '<div class="promo-box">{}</div>',
+)
+
+
+def training_pages(pages: int = 400, seed: int = 10) -> list[tuple[str, list[int]]]:
+    """Labelled pages of many layouts: (html, 1 or 0 for each block, in block order)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: (" ".join(word() for _ in range(n)) + rng.choice((".", ".", "!", "?", ", and more."))).capitalize()
+    prose = lambda: " ".join(sentence(rng.randint(4, 18)) for _ in range(rng.randint(1, 6)))
+    link = lambda: f"<a href=x>{' '.join(word() for _ in range(rng.randint(1, 4)))}</a>"
+
+    def boilerplate() -> tuple[str, list[int]]:
+        if rng.random() < 0.4:
+            n = rng.randint(1, 8)
+            return rng.choice(_LISTS).format("<ul>" + "".join(f"<li>{link()}" for _ in range(n)) + "</ul>"), [0] * n
+        n = rng.choice((1, 1, 2, 5))
+        return rng.choice(_PROSE).format("".join(f"<p>{prose()} {link() if rng.random() < 0.2 else ''}</p>" for _ in range(n))), [0] * n
+
+    def article(framed: bool) -> tuple[str, list[int]]:
+        parts, labels = [], []
+        if rng.random() < 0.7:
+            parts.append(f"<h1>{sentence(5)}</h1>")
+            labels.append(1)
+        for _ in range(rng.randint(1, 9)):
+            kind = rng.random()
+            if kind < 0.62:
+                parts.append(f"<p>{prose()} {link() if rng.random() < 0.3 else ''}</p>")
+                labels.append(1)
+            elif kind < 0.7:
+                parts.append(f"<h2>{sentence(3)}</h2>")
+                labels.append(1)
+            elif kind < 0.78:
+                n = rng.randint(1, 4)
+                parts.append("<ul>" + "".join(f"<li>{sentence(rng.randint(1, 9))}" for _ in range(n)) + "</ul>")
+                labels += [1] * n
+            elif kind < 0.84:
+                parts.append(f"<table><tr><td>{sentence(2)}<td>{word()}</table><blockquote>{prose()}</blockquote>")
+                labels += [1, 1, 1]
+            elif kind < 0.88:
+                n = rng.randint(1, 4)
+                parts.append("<ul>" + "".join(f"<li>{link()}" for _ in range(n)) + "</ul>" if framed else f"<p>{word()}</p>" * n)
+                labels += [1] * n
+            else:
+                html, own = boilerplate()
+                parts.append(html)
+                labels += own
+        return "".join(parts), labels
+
+    out = []
+    for _ in range(pages):
+        frame = rng.choice(_FRAMES)
+        html, labels = article(any(x in frame for x in ("article", "main", "content", "post")))
+        html = frame.format(html)
+        for before in (True, False):
+            for _ in range(rng.randint(0, 4)):
+                more, own = boilerplate()
+                html, labels = (more + html, own + labels) if before else (html + more, labels + own)
+        out.append((f'<body class="{rng.choice(("", "home page", "has-sidebar", "single-post comments-open"))}">{html}</body>', labels))
+    return out
 
 
-@cache
-def weights(steps: int = 400, ridge: float = 0.02) -> np.ndarray:
-    """Logistic weights fitted to the labelled pages by Newton's method."""
-    found = [(blocks_of(page), labels) for page, labels in TRAINING]
+def fit_weights(pages: list[tuple[str, list[int]]], steps: int = 25, ridge: float = 0.05) -> np.ndarray:
+    """Logistic weights fitted to labelled pages by Newton's method."""
+    found = [(blocks_of(page), labels) for page, labels in pages]
     if any(len(b) != len(labels) for b, labels in found):
         raise ValueError("a training page has as many labels as blocks")
     x = np.vstack([features(b) for b, _ in found])
-    y = np.array([int(c) for _, labels in found for c in labels], float)
+    y = np.array([c for _, labels in found for c in labels], float)
     w = np.zeros(x.shape[1])
-    for _ in range(min(steps, 50)):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
         w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
     return w
 
 
+@cache
+def weights() -> np.ndarray:
+    return fit_weights(training_pages())
+
+
 def smoothness(blocks: list[Block], adjacent: float, related: float) -> list[tuple[int, int, float]]:
     """Edges between neighbours in page order, and between a block and the one before it under the same parent."""
     out, last = [], {}
@@ -321,5 +442,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op10_html_extraction(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages; nulls, ties, empty tables and the like as `extract` says."""
     found = extract(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
