@@ -13,16 +13,20 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 K1, B = 1.2, 0.75
 #: Bytes that part words: ASCII other than letters, digits and the underscore.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -193,27 +197,72 @@ def _holds(tokens: list[bytes], run: list[bytes]) -> bool:
     return any(tokens[i : i + len(run)] == run for i in range(len(tokens) - len(run) + 1))
 
 
-def item_shards(items: DataFrame, shard_items: int = 10_000) -> tuple[list[list[Item]], dict[bytes, int], float]:
-    """The benchmark in shards of bounded size, item_id in order, with document frequencies and the mean length of all.
+@dataclass(frozen=True)
+class Benchmark:
+    """The test items in the shared folder, dealt to shards by hash, with the statistics of all of them."""
+
+    items: DataFrame  # shard, item_id, text, answer
+    terms: DataFrame  # shard, term, frequency over all items
+    n_items: int
+    mean_length: float
+    n_shards: int
+
+    def shard(self, k: int) -> tuple[list[Item], dict[bytes, int], int, float]:
+        """What an index of one shard takes: at most about shard_items items, the frequencies of their words, and the counts of all."""
+        rows = self.items.where(F.col("shard") == k).select("item_id", "text", "answer").collect()
+        found = sorted((item_of(*r) for r in rows), key=lambda x: (x.item_id, x.tokens))
+        frequency = {bytes(r["term"]): r["frequency"] for r in self.terms.where(F.col("shard") == k).select("term", "frequency").collect()}
+        return found, frequency, self.n_items, self.mean_length
 
-    A benchmark is a configured list and small against the corpus; only a shard of it is held in a task at a time.
+
+def benchmark_of(items: DataFrame, shard_items: int = 10_000, shard_bytes: int = 32 << 20) -> Benchmark:
+    """Parse and count the items in tasks, write them, and deal them to shards that one task can hold.
+
+    Items with a null id or without words are left out. Frequencies and lengths are of all items, whatever their shard.
     """
-    answer = "answer" if "answer" in items.columns else F.lit(None).cast("string").alias("answer")
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text", answer).orderBy("item_id", "text")
-    found = [x for x in (item_of(*r) for r in rows.toLocalIterator()) if x]
-    frequency = Counter(t for x in found for t in set(x.tokens))
-    mean = sum(len(x.tokens) for x in found) / len(found) if found else 1.0
-    return [found[i : i + shard_items] for i in range(0, len(found), shard_items)], frequency, mean
+    answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [item_of(*r.values()) for r in b.to_pylist()]
+            tokens = pa.array([sorted(set(x.tokens)) if x else [] for x in own], pa.list_(pa.binary()))
+            lengths = pa.array([len(x.tokens) if x else 0 for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lengths, tokens], names=["item_id", "text", "answer", "n", "terms"])
+
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    parsed = written(rows.mapInArrow(parse, "item_id long, text string, answer string, n long, terms array<binary>").where("n > 0"), "items")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))
+    n, length, total = parsed.agg(F.count("*"), F.sum("n"), F.sum(size)).first()
+    shards = max(1, -(-n // shard_items), -(-int(total or 0) // shard_bytes))
+    parsed = parsed.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    each = parsed.select("shard", F.explode("terms").alias("term")).groupBy("term", "shard").count()
+    counted = each.groupBy("term").agg(F.sum("count").alias("frequency"), F.collect_list("shard").alias("shards"))
+    terms = written(counted.select("term", "frequency", F.explode("shards").alias("shard")), "terms")
+    return Benchmark(parsed.drop("n", "terms"), terms, n, float(length or 1) / max(n, 1), shards if n else 0)
+
+
+#: The indexes that a Python worker holds, by name; the oldest goes.
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(name: str, held: Broadcast) -> Index:
+    if name not in _INDEXES:
+        while len(_INDEXES) > 1:
+            del _INDEXES[next(iter(_INDEXES))]
+        _INDEXES[name] = Index(*held.value)
+    return _INDEXES[name]
 
 
 def _search(held: Broadcast, overlap: float):
+    name = uuid.uuid4().hex
+
     @F.pandas_udf(_LEAKS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(*held.value)
         for texts in batches:
+            index = _index(name, held)
             yield pd.Series([[dict(zip(_LEAK, x, strict=True)) for x in index.leaks(t, overlap)] for t in texts], dtype=object)
 
-    return search
+    return search.asNondeterministic()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8, shard_items: int = 10_000) -> DataFrame:
@@ -221,17 +270,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", thresh
 
     Null and empty texts and items without words leak nothing; items with a null id are left out; repeated items of an
     id count once, by the best match; repeated rows give repeated rows; without items every array is empty. A column
-    leaks of docs is replaced.
+    leaks of docs is replaced. A task holds one shard's index at a time: a benchmark of several shards takes a pass over
+    the texts for each, and the leaks of all are put together by row.
     """
+    known = benchmark_of(items, shard_items)
     sc = docs.sparkSession.sparkContext
-    shards, frequency, mean = item_shards(items, shard_items)
-    n = sum(map(len, shards))
-    arrays = []
-    for shard in shards:
-        own = {t: frequency[t] for x in shard for t in x.tokens}
-        held = sc.broadcast((shard, own, n, mean, threshold))  # at most shard_items items
-        arrays.append(_search(held, overlap).asNondeterministic()(F.col(text_col).cast("string")))
-    return docs.withColumn("leaks", F.concat(*arrays) if arrays else F.array().cast(_LEAKS))
+    text = F.col(text_col).cast("string")
+    held = lambda k: sc.broadcast((*known.shard(k), threshold))  # noqa: E731 (at most a shard)
+    if known.n_shards == 0:
+        return docs.withColumn("leaks", F.array().cast(_LEAKS))
+    if known.n_shards == 1:
+        return docs.withColumn("leaks", _search(held(0), overlap)(text))
+    rows = written(docs.drop("leaks").withColumn("__rid", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    parts = []
+    for k in range(known.n_shards):
+        part = held(k)
+        found = rows.select("__rid", _search(part, overlap)(text).alias("leaks")).where(F.size("leaks") > 0)
+        parts.append(written(found, "leaks"))
+        part.destroy()
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.union(other)
+    best = every.select("__rid", F.explode("leaks").alias("x")).groupBy("__rid", F.col("x.item_id").alias("i")).agg(F.max_by("x", F.struct("x.score", "x.overlap")).alias("x"))
+    merged = best.groupBy("__rid").agg(F.array_sort(F.collect_list("x")).alias("leaks"))
+    return rows.join(merged, "__rid", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAKS))).drop("__rid")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -240,6 +302,6 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and test item that leaked into it."""
+    """A row for each document and test item that leaked into it; nulls, ties, empty tables and the like as `find_leaks` says."""
     found = find_leaks(docs.select("doc_id", "text"), items).where(F.size("leaks") > 0)
     return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
