@@ -278,14 +278,15 @@ def near_duplicates(
 # and the exact Jaccard similarity of their shingle sets decides.
 
 WIDE_WORDS = 8
-#: Of 512 bits, the expected distance at a Jaccard similarity of 0.8 is 76 with a deviation of 8, and up to 96 in texts of
-#: a few shingles.
-WIDE_RADIUS = 128
+#: Of 512 bits, the expected distance at a Jaccard similarity of 0.8 is 78 with a deviation of 8; in texts of a few shingles
+#: up to 96 with 9, as an even number of shingles can tie. Both limits lie four deviations off.
+WIDE_RADIUS, LONG_RADIUS, LONG_SHINGLES = 132, 112, 40
 #: Proposals of the first round, which are mostly similar.
 NEAR_RADIUS = 80
 SIMILARITY = 0.8
 _BANDS, _BAND_ROWS = 12, 3
 _DRAW = np.random.default_rng(256).integers(1 << 63, size=_BANDS * _BAND_ROWS + WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FP = [f"f{i}" for i in range(WIDE_WORDS)]
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -294,13 +295,19 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(WIDE_WORDS words of SimHash over the distinct shingles, bucket keys from bands of shingle minima)."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; a shorter text is one shingle, a wordless one has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE_WORDS, np.uint64), np.zeros(1, np.uint64)
+        return np.empty(0, np.uint64)
     grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(WIDE_WORDS words of SimHash over the distinct shingles, a bucket key from each band of shingle minima)."""
+    if not len(h):
+        return np.zeros(WIDE_WORDS, np.uint64), np.arange(_BANDS, dtype=np.uint64)
     fp = np.empty(WIDE_WORDS, np.uint64)
     for i in range(WIDE_WORDS):
         counts = np.zeros(64, np.int64)
@@ -316,156 +323,255 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, f0.., keys) for each row of docs (doc_id, text)."""
-    names = [f"f{i}" for i in range(WIDE_WORDS)]
+    """(id, n, keys, f0..) for each row of docs (id, text); n is the number of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [wide_fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            fp = np.array([x[0] for x in each], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            keys = pa.array([x[1].view(np.int64) for x in each], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fp[:, i]) for i in range(WIDE_WORDS)], keys], names=["id", *names, "keys"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *names]) + ", keys array<long>")
+            hashes = (shingle_hashes(t.as_py(), shingle) for t in b.column(1))
+            each = [(len(h), *wide_fingerprint(h)) for h in hashes]
+            fp = np.array([x[1] for x in each], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            keys = pa.array([x[2].view(np.int64) for x in each], pa.list_(pa.int64()))
+            cols = [b.column(0), pa.array([x[0] for x in each], pa.int64()), keys, *[pa.array(fp[:, i]) for i in range(WIDE_WORDS)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "keys", *_FP])
 
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in _FP))
 
-def _wide_pairs(rows: DataFrame, by: list[str], radius: int, near: int | None = None) -> DataFrame:
-    """Rows (by.., id, component, f0..) -> (u, v) pairs of ids within the buckets of equal `by`, of different components.
-
-    With `near`, each row gives its pair with the first row of the bucket within that distance, and one with itself if
-    any row is within the radius; otherwise all pairs within the radius come.
-    """
-    names = [*by, "id", "component", *[f"f{i}" for i in range(WIDE_WORDS)]]
-    width = len(by)
 
-    def batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:width]], axis=0)]
-        group = np.cumsum(new) - 1
-        component, start = cols[width + 1], np.flatnonzero(new)
-        several = (np.maximum.reduceat(component, start) != np.minimum.reduceat(component, start))[group]
-        if not several.any():
-            return
-        ids, component, group = cols[width][several], component[several], group[several]
-        fp = np.stack([c[several] for c in cols[width + 2 :]], 1).view(np.uint64)
-        first, met = np.arange(len(ids)), np.zeros(len(ids), bool)
-        for a, b in close_pairs(fp, group, 0, radius):
-            apart = (a < b) & (component[a] != component[b])
-            a, b = a[apart], b[apart]
-            if near is None:
-                yield batch(ids[a], ids[b])
-            else:
-                met[a] = met[b] = True
-        if near is not None:
-            for a, b in close_pairs(fp, group, 0, near):
-                apart = (a < b) & (component[a] != component[b])
-                np.minimum.at(first, b[apart], a[apart])
-            linked = first != np.arange(len(ids))
-            yield batch(np.r_[ids[met], ids[linked]], np.r_[ids[met], ids[first[linked]]])
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) for each row of docs (id, text): the sorted shingle hashes, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(names)
         for b in batches:
-            cols = [np.r_[h, b.column(i).to_numpy(zero_copy_only=False)] for i, h in enumerate(held)]
-            if not len(cols[0]):
-                continue
-            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:width]], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from emit([c[:cut] for c in cols])
-        if len(held[0]):
-            yield from emit(held)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["id", "hashes"])
 
-    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "id")
-    return dealt.mapInArrow(run, "u long, v long")
+    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-def _shingle_set(text: str | None, shingle: int) -> set[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)}
+def jaccard_reached(a: set | frozenset, b: set | frozenset, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sets is `similarity` or more; two empty sets are equal."""
+    both = len(a & b)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def similar(a: str | None, b: str | None, shingle: int = 5, similarity: float = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity of the shingle sets of two texts is `similarity` or more."""
-    x, y = _shingle_set(a, shingle), _shingle_set(b, shingle)
-    both = len(x & y)
-    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+    return jaccard_reached(set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist()), similarity)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The (u, v) pairs whose texts (id, text) are similar."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) pairs whose shingle sets (id, hashes) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: set(np.frombuffer(x.as_py(), np.uint64).tolist())
         for b in batches:
-            keep = [similar(x, y, shingle) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            keep = [jaccard_reached(of(x), of(y)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("y"))
+    left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("y"))
     return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, bucket_rows: int = 4096) -> DataFrame:
-    """docs (doc_id, text) -> (id, component): near copies (Jaccard similarity of 0.8 or more) share the least id.
+def _by_group(rows: DataFrame, by: list[str], schema: str, work) -> DataFrame:
+    """work(columns, group) over whole groups of equal `by`, which stream through a task in order; columns as Arrow arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def emit(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = {c: part.column(c).combine_chunks() for c in part.column_names}
+            keys = [cols[c].to_numpy(zero_copy_only=False) for c in by]
+            new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+            yield from work(cols, np.cumsum(new) - 1)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            end = [held.column(c)[-1].as_py() for c in by]
+            other = np.flatnonzero(np.any([held.column(c).to_numpy() != e for c, e in zip(by, end, strict=True)], axis=0))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield from emit(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield from emit(held)
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "id").mapInArrow(run, schema)
+
+
+def _matrix(cols: dict) -> np.ndarray:
+    return np.stack([cols[c].to_numpy(zero_copy_only=False) for c in _FP], 1).view(np.uint64)
 
-    Two rounds: the first links every text to the first close one of each of its buckets, which joins most of a group with
-    few pairs; the second takes every pair within the radius that still lies in different components. Each pair of both
-    is verified by its shingle sets before it links.
 
-    Buckets above bucket_rows are cut into chunks, and every two chunks meet in a task of their own, so no link of a
-    hot bucket is lost and no task gets all of it. Null text counts as empty, wordless texts are one group, null ids are
-    left out. Repeated rows give repeated rows.
+def _proposed_pairs(fp: np.ndarray, n: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance), a before b: pairs in a group that may be similar by bits and by numbers of shingles."""
+    for a, b in close_pairs(fp, group, 0, radius):
+        once = a < b
+        a, b = a[once], b[once]
+        distance = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        fits = (low >= SIMILARITY * high - 1e-9) & ((distance <= LONG_RADIUS) | (low < LONG_SHINGLES))
+        yield a[fits], b[fits], distance[fits]
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Rows (key, chunk, id, n, f0..) -> (key, u, v): in each group the rows of most close neighbours with these, each row
+    with one of them, and a pair (u, u) for each row that may be similar to another one. As many rows come as go in, twice."""
+
+    def work(cols: dict, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, keys, n, fp = (cols["id"].to_numpy(), cols["key"].to_numpy(), cols["n"].to_numpy(), _matrix(cols))
+        several = np.bincount(group)[group] > 1
+        ids, keys, n, fp, group = ids[several], keys[several], n[several], fp[several], group[several]
+        if not len(ids):
+            return
+        met, degree, near = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), []
+        for a, b, distance in _proposed_pairs(fp, n, group, WIDE_RADIUS):
+            met[a] = met[b] = True
+            close = distance <= NEAR_RADIUS
+            a, b = a[close], b[close]
+            np.add.at(degree, a, 1)
+            np.add.at(degree, b, 1)
+            near.append((a.astype(np.int32), b.astype(np.int32)))
+        # each row goes to the neighbour of most neighbours, itself included
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, -degree))] = np.arange(len(ids))
+        top = rank.copy()
+        for a, b in near:
+            np.minimum.at(top, a, rank[b])
+            np.minimum.at(top, b, rank[a])
+        centre = np.argsort(rank)[top]
+        linked = centre != np.arange(len(ids))
+        u, v, k = np.r_[ids[met], ids[linked]], np.r_[ids[met], ids[centre[linked]]], np.r_[keys[met], keys[linked]]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(u), pa.array(v)], names=["key", "u", "v"])
+
+    return _by_group(rows.select("key", "chunk", "id", "n", *_FP), ["key", "chunk"], "key long, u long, v long", work)
+
+
+def _exact_links(rows: DataFrame) -> DataFrame:
+    """Rows (key, low, high, mine, id, component, n, keys, f0.., hashes) -> (u, v) links between components, each verified.
+
+    Where low and high differ only rows of different `mine` meet. A pair is judged in the first bucket that it shares,
+    the closest pairs first, and not if links found before have joined the two.
+    """
+
+    def work(cols: dict, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        take = lambda c: cols[c].to_numpy(zero_copy_only=False)
+        ids, component, mine, key = take("id"), take("component"), take("mine"), take("key")
+        across = take("low") != take("high")
+        own_keys = np.array(cols["keys"].to_pylist(), np.int64)
+        sets: dict[int, frozenset] = {}
+
+        def of(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = frozenset(np.frombuffer(cols["hashes"][i].as_py(), np.uint64).tolist())
+            return sets[i]
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b, distance in _proposed_pairs(_matrix(cols), take("n"), group, WIDE_RADIUS):
+            fits = (component[a] != component[b]) & (~across[a] | (mine[a] != mine[b]))
+            a, b, distance = a[fits], b[fits], distance[fits]
+            same = own_keys[a] == own_keys[b]
+            first = own_keys[a, same.argmax(axis=1)] == key[a]
+            found.append((a[first], b[first], distance[first]))
+        if not found:
+            return
+        a, b, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(distance, kind="stable")
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        u, v = [], []
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            x, y = root(int(component[i])), root(int(component[j]))
+            if x != y and jaccard_reached(of(i), of(j)):
+                up[max(x, y)] = min(x, y)
+                u.append(int(ids[i]))
+                v.append(int(ids[j]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    names = ["key", "low", "high", "mine", "id", "component", "n", "keys", *_FP, "hashes"]
+    return _by_group(rows.select(*names), ["key", "low", "high"], "u long, v long", work)
+
+
+def _cells(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """rows (key, component, id, ..) -> also low, high, mine: a bucket is one cell, or cut where it exceeds bucket_rows.
+
+    The rows of a large bucket's largest component needn't meet each other, so they are cut into chunks that meet only
+    the chunks of the other rows; those meet one another too. Every pair of different components meets in one cell.
+    """
+    counts = written(rows.groupBy("key", "component").count(), "cell_counts")
+    sizes = counts.groupBy("key").agg(F.sum("count").alias("rows"), F.max(F.struct("count", F.col("component").alias("c"))).alias("main"))
+    half = max(1, bucket_rows // 2)
+    large = sizes.where(F.col("rows") > bucket_rows).select("key", F.col("main.c").alias("__main"), F.ceil(F.col("main.count") / half).alias("__m"), F.ceil((F.col("rows") - F.col("main.count")) / half).alias("__o"))
+    joined = rows.join(large, "key", "left")
+    is_main = F.col("component") == F.col("__main")
+    # chunks of the other rows are 0, 1, ..; those of the largest component -1, -2, ..
+    mine = F.when(is_main, -1 - F.pmod(F.xxhash64("id"), F.col("__m"))).otherwise(F.pmod(F.xxhash64("id"), F.col("__o")))
+    others, mains = F.sequence(F.lit(0).cast("long"), F.col("__o") - 1), F.sequence(-F.col("__m"), F.lit(-1).cast("long"))
+    met = F.when(is_main & (F.col("__o") > 0), others).when(~is_main, F.concat(mains, others)).otherwise(F.array().cast("array<long>"))
+    meets = F.explode(F.when(F.col("__main").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))
+    out = joined.withColumn("mine", F.coalesce(mine, F.lit(0).cast("long"))).withColumn("__other", meets)
+    return out.withColumn("low", F.least("mine", "__other")).withColumn("high", F.greatest("mine", "__other")).drop("__main", "__m", "__o", "__other")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, bucket_rows: int = 4096, id_col: str = "doc_id") -> DataFrame:
+    """docs (id_col, text) -> (id, component): near copies (Jaccard similarity of 0.8 or more) share the least id.
+
+    Two rounds: the first links every text to the one of its close ones that has most of them itself, bucket by bucket,
+    which joins most of a group with few pairs. The second takes the buckets in which texts that may be similar still lie
+    in different components, and judges every such pair within the bucket, shingle sets at hand: only links leave it, at
+    most one less than there are rows. Each link of both is verified by the shingle sets.
+
+    Buckets above bucket_rows are cut (see `_cells`), so no link of a hot bucket is lost and no task gets all of it. Null
+    text counts as empty, wordless texts are one group, null ids are left out. Repeated rows give repeated rows; an empty
+    table gives an empty result.
     """
-    fp = [f"f{i}" for i in range(WIDE_WORDS)]
-    named = docs.where("doc_id is not null")
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     each = written(_wide(named, shingle), "wide")
-    least = written(each.groupBy(*fp).agg(F.min(F.struct("id", "keys")).alias("x")).select(*fp, F.col("x.id").alias("id"), F.col("x.keys").alias("keys")), "distinct")
-    sizes = least.select(F.explode("keys").alias("key")).groupBy("key").count()
-    hot = written(sizes.where(F.col("count") > bucket_rows), "hot")
-    none_hot = hot.isEmpty()
-
-    def proposed(nodes: DataFrame, near: int | None) -> DataFrame:
-        rows = nodes.select(F.explode("keys").alias("key"), "id", "component", *fp)
-        if none_hot:
-            return _wide_pairs(rows, ["key"], radius, near).distinct()
-        cold = _wide_pairs(rows.join(hot, "key", "left_anti"), ["key"], radius, near)
-        chunks = F.ceil(F.col("count") / bucket_rows * 2).cast("long")
-        mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
-        cut = rows.join(hot, "key").withColumn("chunks", chunks).withColumn("mine", mine)
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-        pairs = cut.select("key", "id", "component", *fp, "mine", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-        return cold.union(_wide_pairs(pairs, ["key", "low", "high"], radius, near)).distinct()
-
-    first = written(proposed(least.withColumn("component", F.col("id")), NEAR_RADIUS), "first_pairs")
-    met = first.where("u = v").select(F.col("u").alias("id"))
-    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(met, "id", "left_semi")
-    texts = written(texts, "texts", compression="zstd")
-    links = written(_verified(first.where("u != v"), texts, shingle), "verified")
-    roots = written(connected_components(links), "first_roots").withColumnRenamed("root", "component")
-    # only texts with another one within the radius can gain a link
-    open_rows = least.join(met, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    open_rows = open_rows.withColumn("component", F.coalesce("component", "id"))
-    second = written(proposed(open_rows, None), "second_pairs")
-    links = links.union(written(_verified(second, texts, shingle), "verified"))
+    least = each.groupBy(*_FP).agg(F.min(F.struct("id", "n", "keys")).alias("x")).select(*_FP, "x.*")
+    least = written(least, "distinct")
+    rows = least.select(F.explode("keys").alias("key"), "id", "n", *_FP)
+    hot = written(rows.groupBy("key").count().where(F.col("count") > bucket_rows), "hot")
+    dealt = rows.join(hot, "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / bucket_rows)), F.lit(0).cast("long")))
+    stars = written(_stars(dealt), "stars")
+    met = stars.where("u = v").select("key", F.col("u").alias("id"))
+    # the first round sees a chunk of a hot bucket at a time, so all its rows stay open
+    met = written(met.union(rows.join(hot, "key", "left_semi").select("key", "id")).distinct(), "met")
+    sets = written(_sets(named.join(met.select("id").distinct(), "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets", compression="zstd")
+    links = written(_verified(stars.where("u != v").select("u", "v").distinct(), sets), "links")
+    roots = written(connected_components(links), "roots")
+    placed = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
+    placed = written(placed, "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    still = _cells(placed.join(split, "key", "left_semi"), bucket_rows)
+    still = still.join(least.select("id", "n", "keys", *_FP), "id").join(sets, "id")
+    links = links.union(written(_exact_links(still), "links"))
     roots = connected_components(links)
-    known = least.select(*fp, F.col("id").alias("node")).join(roots, "node", "left").select(*fp, F.coalesce("root", "node").alias("component"))
-    return each.join(known, fp).select("id", "component")
+    known = least.select(*_FP, F.col("id").alias("node")).join(roots, "node", "left").select(*_FP, F.coalesce("root", "node").alias("component"))
+    return each.join(known, _FP).select("id", "component")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id, one row of it; columns as they were.
+    """Of each group of near copies the row with the least doc_id (nulls last), columns as they were.
 
-    Documents with a null doc_id can't be told apart from a group and stay.
+    Rows are told apart by a number written with them: different texts that share a doc_id, or have none, are different
+    documents, and equal rows are copies of one. Null and empty texts are one group. An empty table gives an empty result.
     """
-    kept = similar_components(docs).where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    rows = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    groups = similar_components(rows.select("__rid", "text"), id_col="__rid").withColumnRenamed("id", "__rid")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__rid")).alias("x")
+    kept = rows.select("__rid", "doc_id").join(groups, "__rid").groupBy("component").agg(order).select(F.col("x.__rid").alias("__rid"))
+    return rows.join(kept, "__rid", "left_semi").select(*docs.columns)
 
 
 def op8_simhash_near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of docs; nulls, ties, empty tables and the like as `near_duplicates` says."""
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

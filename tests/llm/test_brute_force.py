@@ -54,8 +54,35 @@ def test_arc_round_trip_by_declared_length():
         data = b"".join(arc_to_warc.warc_bytes(r) + b"\r\n\r\n" for r in converted)
         assert list(arc_to_warc.read_warc(data)) == converted
         assert converted[0].headers["WARC-Date"] == "2001-02-03T04:05:06Z"
+    cut = list(arc_to_warc.read_arc(arc_to_warc.write_arc(records[:1], 2)[:-5]))
+    assert cut[0].truncated and arc_to_warc.to_warc(cut[0]).headers["WARC-Truncated"] == "unspecified"
     with pytest.raises(ValueError):
-        list(arc_to_warc.read_arc(arc_to_warc.write_arc(records, 2)[:-5]))
+        list(arc_to_warc.read_arc(arc_to_warc.write_arc(records, 2) + b"no record line\n"))
+
+
+def test_real_arc_lines(spark, tmp_path):
+    import gzip
+
+    about = "1 0 Somebody\nURL IP-address Archive-date Content-type Archive-length\n"
+    lf = "HTTP/1.0 200 OK\nContent-Type: text/html\n\nbody"
+    rows = [("http://a/x y z.html", "text/html; charset=latin1", "19970101000000", lf), ("http://b/", "text/html", "99999999999999", "HTTP/1.0 404 Not Found"), ("mailto:x", "text/plain", "199701010000", "")]
+    data = f"filedesc://x.arc 0.0.0.0 19960101000000 text/plain {len(about)}\n{about}" + "".join(f"\n{u} 1.2.3.4 {d} {t} {len(b)}\n{b}" for u, t, d, b in rows) + "\n"
+    found = list(arc_to_warc.read_arc(data.encode()))
+    assert [r.uri for r in found] == ["http://a/x%20y%20z.html", "http://b/", "mailto:x"] and found[0].content_type == "text/html; charset=latin1"
+    assert [arc_to_warc.http_payload(r.block)[2] for r in found] == [b"body", b"", b""]
+    converted = [arc_to_warc.to_warc(r) for r in found]
+    assert converted[0].block == lf.encode() and converted[1].headers["WARC-Date"] == "1970-01-01T00:00:00Z" and converted[1].headers["X-ARC-Date"] == "9" * 14
+    assert converted[2].headers["WARC-Date"] == "1997-01-01T00:00:00Z" and converted[2].headers["WARC-Type"] == "resource"
+    (tmp_path / "a.arc").write_bytes(data.encode())
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(data.encode()))
+    (tmp_path / "c.arc").write_bytes(data.encode() + b"damaged\n")
+    (tmp_path / "d.arc").write_bytes(b"junk")
+    out = arc_to_warc.convert_files(spark, str(tmp_path)).collect()
+    assert Counter(r.record_type for r in out) == {"warcinfo": 3, "response": 6, "resource": 3, None: 2} and sum(r.error is not None for r in out) == 2
+    for r in out:
+        if r.warc:
+            (one,) = arc_to_warc.read_warc(bytes(r.warc))
+            assert one.headers["WARC-Record-ID"] == r.record_id
 
 
 def test_equal_payloads_are_revisits_of_the_largest_id(spark):
@@ -63,7 +90,7 @@ def test_equal_payloads_are_revisits_of_the_largest_id(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in arc_to_warc.op1_arc_to_warc(df).collect()}
     assert got == {1: ("revisit", 5, 4), 5: ("response", None, 4), 3: ("revisit", 4, 0), 4: ("response", None, 0)}
-    shuffled = {r.page_id: r.keep_id for r in arc_to_warc.keepers(df, broadcast_rows=0).collect()}
+    shuffled = {r.page_id: r.keep_id for r in arc_to_warc.keepers(df, broadcast_bytes=0).collect()}
     assert shuffled == {1: 5, 5: None, 3: 4, 4: None}
 
 
@@ -74,6 +101,27 @@ def test_language_is_right_on_held_out_documents(spark):
     assert found.score.between(0, 1).all()
 
 
+def test_copies_and_prefixes_do_not_make_the_dictionaries(spark):
+    letter = lambda i: "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(3 + i % 5))
+    english = [" ".join(letter(i * 31 + j) for j in range(40)) for i in range(50)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate([*english, *[min(english)] * 500])]
+    rng = random.Random(2)
+    rows += [(10_000 + i, " ".join("é" + "".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)), "fr", "a", 0) for i in range(30)]
+    model = language_zstd.fit(spark.createDataFrame(rows, DOCS))
+    assert len(model["en"]) == sum(len(language_zstd.letters(t)) + 1 for t in english) - 1
+    assert model["fr"] and len(model["fr"]) <= language_zstd.Settings().pieces_per_lang * 2 * language_zstd.Settings().piece_chars
+    starts = {language_zstd.letters(r[1])[:200] for r in rows[550:]}
+    assert any(x not in model["fr"] for x in starts)  # pieces from anywhere in a text, not the prefixes
+
+
+def test_letters_are_letters_only():
+    assert language_zstd.letters("½ ² 12 ٣ ⅷ _ !?") == b"" and language_zstd.letters(None) == b""
+    assert language_zstd.letters("Ab½c dé2F") == "abc dé f".encode()
+    encoder = language_zstd.Encoder({"a": b"x" * 600, "b": b"x" * 600}, language_zstd.Settings())
+    assert encoder.classify("xxx xxx")[0::2] == ("a", False)  # a tie goes to the first and is rejected
+    assert encoder.classify("½ ²") == ("und", 0.0, False)
+
+
 def test_margin_of_clean_long_texts_does_not_shrink(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     encoder = language_zstd.Encoder(language_zstd.fit_documents(docs), language_zstd.Settings())
@@ -130,6 +178,46 @@ def test_whole_names_go_with_and_without_title(spark):
     assert out[4] == f"Mr {name} came. {name} left, {name.split()[1]} said. Smithson stays."
 
 
+def test_hostile_entities_neither_raise_nor_leak(spark):
+    rows = [
+        "Password: ________ (fill in)", *[f"{i}@a{i}.com" for i in range(12)], "Jörg.Müller@firma.de wrote", "Ms. Anne-Marie O’Neil came", "Mr Ivan Petrov and Ivan Petrov",
+        "MR JOHN SMITH left", "call 030 1234567 now", "version 999.999.1.2", "number 1234567812345678", "IBAN DE89 3704 0044 0532 0130 00 is it", "Иван.Петров@почта.рф", "my name is Jane Roe, hello",
+        "password=--------a", "token: ++++++++1", "card 4111-1111-1111-1111",
+    ]
+    out = [r.text for r in pii_surrogates.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new = dict(zip(rows, out, strict=True))
+    assert new[rows[0]] == rows[0] and new["version 999.999.1.2"] == "version 999.999.1.2" and new["number 1234567812345678"] == "number 1234567812345678"
+    assert len(set(out[1:13])) == 12 and not set(out[1:13]) & set(rows)
+    for row, private in (("Jörg", "Müller"), ("Ms. Anne", "Neil"), ("Ms. Anne", "Marie"), ("MR JOHN", "SMITH"), ("MR JOHN", "JOHN"), ("call 030", "030 1234567"), ("IBAN", "3704"), ("Иван.Пет", "Петров"), ("my name", "Jane"), ("my name", "Roe"), ("password", "--a"), ("card", "4111-1111-1111-1111")):
+        (text,) = (new[r] for r in rows if r.startswith(row))
+        assert private not in text, text
+    petrov = new["Mr Ivan Petrov and Ivan Petrov"].removeprefix("Mr ").split(" and ")
+    assert petrov[0] == petrov[1] != "Ivan Petrov"
+    iban = new["IBAN DE89 3704 0044 0532 0130 00 is it"].removeprefix("IBAN ").removesuffix(" is it")
+    assert [len(x) for x in iban.split()] == [4, 4, 4, 4, 4, 2] and iban.startswith("DE")
+    flat = iban.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert new["MR JOHN SMITH left"].split(" left")[0].isupper() and new["card 4111-1111-1111-1111"].count("-") == 3
+
+
+def test_surrogates_of_the_table_equal_a_plain_collision_check(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    import re
+
+    mail = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
+    out = {r.doc_id: r for r in pii_surrogates.op3_pii_surrogates(docs).collect()}
+    one, back, changed = {}, {}, 0
+    for r in docs.select("doc_id", "text").collect():
+        old, new = mail.findall(r.text or ""), mail.findall(out[r.doc_id].text or "")
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            changed += 1
+            assert one.setdefault(a.lower(), b.lower()) == b.lower() and back.setdefault(b.lower(), a.lower()) == a.lower()
+        if out[r.doc_id].n_entities == 0:
+            assert out[r.doc_id].text == r.text
+    assert changed > 10 and not set(one) & set(back)
+
+
 def brute_repeats(docs, min_words):
     """Lines of each document in a run of min_words words or more that occurs earlier."""
     lines = {d: [(i, " ".join(x.lower().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for d, t in docs}
@@ -165,6 +253,37 @@ def test_line_dedup_equals_brute_force(spark):
         assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in gone[r.doc_id])
 
 
+def brute_seeds(lines, min_words):
+    """Positions of the least line of every window, from each line rightwards and leftwards. lines: (hash, words)."""
+    found = set()
+    for way in (1, -1):
+        for i in range(len(lines)):
+            j, total = i, 0
+            while 0 <= j < len(lines) and total < min_words:
+                total += lines[j][1]
+                j += way
+            if total >= min_words:
+                found.add(min(range(min(i, j - way), max(i, j - way) + 1), key=lambda k: (lines[k][0], k)))
+    return found
+
+
+def test_seeds_are_thinned_window_minima(spark):
+    rng = random.Random(44)
+    pool = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    docs = [(d, d, "\n".join(rng.choice(pool) for _ in range(60))) for d in range(20)]
+    lines = line_winnowing._lines(spark.createDataFrame(docs, "rid long, doc_id long, text string"))
+    by_doc = defaultdict(list)
+    for r in lines.orderBy("rid", "pos").collect():
+        by_doc[r.rid].append((r.a, r.words))
+    got = defaultdict(set)
+    selected = line_winnowing.seeds(lines, 30).collect()
+    for r in selected:
+        got[r.rid].add(r.at)
+        assert by_doc[r.rid][r.at][0] == r.fingerprint and all(w["first"] <= r.at <= w["last"] for w in r.windows)
+    assert got == {d: brute_seeds(own, 30) for d, own in by_doc.items()}
+    assert len(selected) < 0.4 * sum(map(len, by_doc.values()))
+
+
 def test_line_dedup_holds_when_the_cut_into_tasks_changes(spark, tmp_path):
     line = lambda d: " ".join(f"w{d}x{i}" for i in range(60))
     rows = [(d, line(d if d % 3 else 0) + f"\n{line(1000 + d)}") for d in range(1, 400)]
@@ -381,6 +500,31 @@ def test_similarity_just_above_and_below_the_limit(spark):
         assert got == roots(range(520), pairs)
 
 
+def test_groups_of_a_table_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(simhash_bitsliced.shingle_hashes(r.text).tolist()) for r in docs.collect()}
+    holders = defaultdict(list)
+    for d, own in sets.items():
+        for h in own:
+            holders[h].append(d)
+    met = Counter((a, b) for own in holders.values() if len(own) < 200 for a in own for b in own if a < b)
+    pairs = [(a, b) for (a, b), n in met.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    empty = [d for d, own in sets.items() if not own]
+    pairs += list(zip(empty, empty[1:], strict=False))
+    want = roots(sets, pairs)
+    assert len(pairs) > 50
+    for cap in (4096, 16):
+        assert {r.id: r.component for r in simhash_bitsliced.similar_components(docs, bucket_rows=cap).collect()} == want
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(50))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(1)), (None, text(4)), (7, None), (8, ""), (9, text(3) + " tail")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id is None, r.doc_id, r.text) for r in simhash_bitsliced.keep_one_of_each(df).collect()), key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+    assert got == sorted([(False, 1, text(1)), (False, 1, text(2)), (False, 9, text(3) + " tail"), (True, None, text(4)), (False, 7, None)], key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, k) for k in range(501, 560)]
@@ -444,3 +588,62 @@ def test_main_text_of_framed_and_unframed_pages():
     assert html_mincut.main_text(page) == "Head & more First para with boldtext. Second one. Item"
     assert html_mincut.main_text(None) == html_mincut.main_text("<nav>x</nav>") == ""
     assert html_mincut.main_text("<article><p>Cut off in a ta<b") == "Cut off in a ta"
+
+
+_PARA = "<p>" + "The council met again, and it voted for the plan. " * 12 + "</p>"
+_TEXT = " ".join(["The council met again, and it voted for the plan."] * 12)
+_AROUND = ('<nav><a href=x>Home</a><a href=y>News</a></nav>', '<section class="comments"><p>Great post, thanks for it.</p></section><footer>All rights reserved.</footer>')
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        '<article class="post-1 post comments-open">{}</article>', '<div class="layout has-sidebar">{}</div>', '<article class="story social">{}</article>', '<div class="a hidden b">{}</div>',
+        '<div class="grid sidebar"><article>{}</article></div>', '<form action="/"><main>{}</main></form>', '<body class="home comments"><div id="content">{}</div></body>', '<div data-role="banner"><main>{}</main></div>',
+    ],
+)
+def test_names_are_hints_only(frame):
+    assert html_mincut.main_text(_AROUND[0] + frame.format(_PARA) + _AROUND[1]) == _TEXT
+
+
+def test_nothing_of_the_article_is_dropped():
+    page = f"{_AROUND[0]}<article>{_PARA}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p><a href=x>A paragraph that is one link.</a></p><ul><li><a href=r>One reference</a></ul></article>{_AROUND[1]}"
+    assert html_mincut.main_text(page) == f"{_TEXT} Let x = 2 be. A paragraph that is one link. One reference"
+    long = "".join(f"<p>Paragraph {i} of a very long page, as it is.</p>" for i in range(20_000))
+    assert html_mincut.main_text(f"{_AROUND[0]}<article>{long}</article>{_AROUND[1]}") == " ".join(f"Paragraph {i} of a very long page, as it is." for i in range(20_000))
+
+
+def test_comments_longer_than_the_article_go():
+    comment = "<p>" + "A reader has a lot to say on this, and says it. " * 30 + "</p>"
+    for frame in ('<section id="comments">{}</section>', '<div class="comments-area"><article class="comment">{}</article></div>', '<ol class="comment-list"><li class="comment">{}</ol>'):
+        assert html_mincut.main_text(f"<article>{_PARA}</article>" + frame.format(comment * 4)) == _TEXT
+
+
+def test_labelled_pages_of_layouts_not_trained_on():
+    right = total = 0
+    for page, labels in html_mincut.training_pages(300, seed=11):
+        blocks = html_mincut.blocks_of(page)
+        score = html_mincut.features(blocks) @ html_mincut.weights()
+        keep = html_mincut.source_side(np.logaddexp(0, score), np.logaddexp(0, -score), html_mincut.smoothness(blocks, 0.5, 0.25))
+        right += sum(int(k) == y for k, y in zip(keep, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.97
+
+
+def test_extraction_equals_the_articles_of_the_page_table(spark):
+    """Brute force for the table's own frame: what stands in <article>, without its marked parts."""
+    import html as entities
+    import re
+
+    out = html_mincut.op10_html_extraction(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    seen = 0
+    for r in out:
+        m = re.search(r"(?s)<article[^>]*>(.*?)</article>", raw[r.page_id] or "")
+        if m:
+            seen += 1
+            text = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", m[1])
+            for word in set(re.sub(r"\W+", " ", r.text).split()):
+                assert word in entities.unescape(re.sub(r"<[^>]+>", " ", text))
+        assert r.n_chars == len(r.text)
+    assert seen > 0 or not any("<article" in (h or "") for h in raw.values())
