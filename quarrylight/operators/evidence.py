@@ -10,6 +10,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.urls import blank
+from .guards import value_at_rank
 
 
 def _asked(messages: DataFrame) -> DataFrame:
@@ -124,18 +125,49 @@ def enrich_budget(rows: DataFrame, base: int = 4, cap: int = 14) -> DataFrame:
     return out.select("query_id", F.least(F.lit(base) + more, F.lit(cap)).cast("long").alias("budget"))
 
 
+_RUNS = "struct<w:string,n:int,at:int,n1:int,at1:int,w1:string,n2:int,at2:int,w2:string>"
+
+
+def _two_most(words: Column) -> Column:
+    """The two most frequent words of an array, by their first places where they tie: one pass over the sorted words."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    none = F.from_json(F.lit('{"n":0,"at":0,"n1":0,"at1":0,"n2":0,"at2":0}'), _RUNS)
+
+    def close(s):
+        """The state once its current word has ended."""
+        better = lambda n, at: (s["n"] > n) | ((s["n"] == n) & (s["at"] < at))
+        first, second = better(s["n1"], s["at1"]), better(s["n2"], s["at2"])
+        pick = lambda a, b, c: F.when(first, a).when(second, b).otherwise(c)
+        return (
+            F.when(first, s["n"]).otherwise(s["n1"]), F.when(first, s["at"]).otherwise(s["at1"]), F.when(first, s["w"]).otherwise(s["w1"]),
+            pick(s["n1"], s["n"], s["n2"]), pick(s["at1"], s["at"], s["at2"]), pick(s["w1"], s["w"], s["w2"]),
+        )
+
+    def state(w, n, at, best):
+        return F.struct(w.alias("w"), n.cast("int").alias("n"), at.cast("int").alias("at"), *[v.alias(k) for k, v in zip(("n1", "at1", "w1", "n2", "at2", "w2"), best, strict=True)])
+
+    def add(s, x):
+        same = s["w"].eqNullSafe(x["w"])
+        kept = [s[k] for k in ("n1", "at1", "w1", "n2", "at2", "w2")]
+        return F.when(same, state(s["w"], s["n"] + 1, s["at"], kept)).otherwise(state(x["w"], F.lit(1), x["at"], close(s)))
+
+    # a word that sorts last of all ends the last one
+    return F.aggregate(F.concat(placed, F.array(F.struct(F.lit("\U0010ffff").alias("w"), F.lit(0).alias("at")))), none, add)
+
+
+def with_repetition(texts: DataFrame) -> DataFrame:
+    """texts plus ratio: share of the most frequent word of four letters or more, the next one if that is a glue word; 0
+    under 40 words. Counted within the row, so nothing is shuffled; words and counts are columns of their own, so that
+    each is computed once."""
+    words = F.filter(F.transform(F.regexp_extract_all(blank(F.col("text")), F.lit(T.TOKEN), F.lit(0)), F.lower), lambda w: F.length(w) >= 4)
+    counted = texts.withColumn("__words", words).withColumn("__top", _two_most(F.col("__words")))
+    n = F.when(F.col("__top.w1").isin(*T.GLUE_WORDS), F.col("__top.n2")).otherwise(F.col("__top.n1"))
+    ratio = F.when(F.size("__words") < 40, F.lit(0.0)).otherwise(F.round(n / F.size("__words"), 6))
+    return counted.withColumn("ratio", ratio).drop("__words", "__top")
+
+
 def repetition_ratio(texts: DataFrame, key: str) -> DataFrame:
-    """Share of the most frequent word of four letters or more, the next one if that is a glue word; 0 under 40 words."""
-    words = texts.select(key, F.posexplode(F.filter(F.transform(F.regexp_extract_all(blank(F.col("text")), F.lit(T.TOKEN), F.lit(0)), F.lower), lambda w: F.length(w) >= 4)).alias("at", "w"))
-    counts = words.groupBy(key, "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "at")
-    top = counts.withColumn("total", F.sum("n").over(Window.partitionBy(key))).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    glue = F.col("w").isin(*T.GLUE_WORDS)
-    best = top.groupBy(key).agg(
-        F.max("total").alias("total"), F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("n"))).alias("b"), F.max(F.when(F.col("rank") == 1, glue)).alias("glue")
-    )
-    ratio = F.when(F.col("total") < 40, 0.0).otherwise(F.coalesce(F.when(F.col("glue"), F.col("b")).otherwise(F.col("a")), F.lit(0)) / F.col("total"))
-    return texts.select(key).join(best.select(key, F.round(ratio, 6).alias("ratio")), key, "left").select(key, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    return with_repetition(texts).select(key, "ratio")
 
 
 def long_enough(texts: DataFrame) -> DataFrame:
@@ -158,8 +190,8 @@ def gram_diversity(texts: DataFrame) -> DataFrame:
 
 
 def answer_quality(texts: DataFrame, key: str, research: bool = True) -> DataFrame:
-    """(key, ok, reasons): empty, looping, repetitive or collapsed texts."""
-    rated = gram_diversity(texts).join(repetition_ratio(texts, key), key)
+    """(key, ok, reasons): empty, looping, repetitive or collapsed texts. One pass over the rows, nothing is shuffled."""
+    rated = with_repetition(gram_diversity(texts))
     t = F.col("text")
     empty = F.trim(blank(t)) == ""
     varied = F.col("diversity") if research else F.lit(None).cast("double")
@@ -176,24 +208,24 @@ def answer_quality(texts: DataFrame, key: str, research: bool = True) -> DataFra
 
 def outliers(values: DataFrame, group: str, value: str) -> DataFrame:
     """Values ten times above or below the upper median of their group's positive ones; groups under four have none."""
-    g = values.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col(value) > 0, F.col(value)))).alias("v"))
-    mid = F.get("v", F.floor(F.size("v") / 2).cast("int"))
-    joined = values.join(g.select(group, F.when(F.col("n") >= 4, mid).alias("mid")), group)
+    sizes = values.groupBy(group).agg(F.count("*").alias("__all"))
+    middle = value_at_rank(values.where(F.col(value) > 0), group, value, lambda n: F.floor(n / 2)).select(group, F.col("p").alias("__mid"))
+    joined = values.join(sizes.join(middle, group, "left"), group).withColumn("mid", F.when(F.col("__all") >= 4, F.col("__mid"))).drop("__all", "__mid")
     v = F.col(value)
     return joined.withColumn("outlier", F.coalesce((v > 0) & (F.col("mid") > 0) & ((v / F.col("mid") >= 10) | (F.col("mid") / v >= 10)), F.lit(False))).drop("mid")
 
 
-def early_stop(read: DataFrame, messages: DataFrame, depth: Column, waves_most: int = 8) -> DataFrame:
+def early_stop(read: DataFrame, messages: DataFrame, depth: Column) -> DataFrame:
     """Read pages (hits with wave) -> those of the waves up to the first after which the answer is ready.
 
-    Every prefix of waves is judged as a query of its own, at most waves_most a query, so no step waits for another.
+    Every prefix of waves is judged as a query of its own, so no step waits for another.
     """
-    number = lambda q, w: q * waves_most + w
+    part = F.struct("query_id", "upto")
     last = F.max("wave").over(Window.partitionBy("query_id"))
     prefixes = read.withColumn("last", last).withColumn("upto", F.explode(F.sequence("wave", "last")))
     asked = prefixes.select("query_id", "upto").distinct().join(messages.withColumn("depth", depth), "query_id")
-    keyed = asked.select(number(F.col("query_id"), F.col("upto")).alias("query_id"), "message", "depth")
-    rows = prefixes.select(number(F.col("query_id"), F.col("upto")).alias("query_id"), *[c for c in read.columns if c not in ("query_id", "wave")])
+    keyed = asked.select(part.alias("query_id"), "message", "depth")
+    rows = prefixes.select(part.alias("query_id"), *[c for c in read.columns if c not in ("query_id", "wave")])
     ready = answer_ready(rows, keyed, F.col("depth"))
-    first = ready.where("ready").select(F.floor(F.col("query_id") / waves_most).alias("query_id"), (F.col("query_id") % waves_most).alias("stop")).groupBy("query_id").agg(F.min("stop").alias("stop"))
+    first = ready.where("ready").select("query_id.*").groupBy("query_id").agg(F.min("upto").alias("stop"))
     return read.join(first, "query_id", "left").where(F.col("stop").isNull() | (F.col("wave") <= F.col("stop"))).drop("stop")

@@ -7,7 +7,7 @@ micro-batches. Decisions depend on earlier decisions, so no window frame express
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,19 +78,27 @@ def cooldown(turns: int) -> tuple[tuple, Step]:
 
 
 def fold(events: DataFrame, guard: tuple[tuple, Step], name: str) -> DataFrame:
-    """events (key, t double, event_id, outcome) -> (key, event_id, name): the guard over each key's events in order."""
+    """events (key, t double, event_id, outcome) -> (key, event_id, name): the guard over each key's events in order.
+
+    A key's events stream through its task in order, batch by batch, with only the guard's state carried along, so a
+    key's history is never held in memory.
+    """
     start, step = guard
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "event_id"])
-        state, out = start, []
-        for t, outcome in zip(group["t"], group["outcome"], strict=True):
-            state, decision = step(state, t, outcome)
-            out.append(decision)
-        return pd.DataFrame({"key": group["key"], "event_id": group["event_id"], name: out})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), start
+        for batch in batches:
+            out = []
+            for key, t, outcome in zip(batch["key"], batch["t"], batch["outcome"], strict=True):
+                if key != current and not (pd.isna(key) and current is None):
+                    current, state = (None if pd.isna(key) else key), start
+                state, decision = step(state, t, outcome)
+                out.append(decision)
+            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"], name: out})
 
     kind = events.schema["key"].dataType.simpleString()
-    return events.select("key", "t", "event_id", "outcome").groupBy("key").applyInPandas(run, f"key {kind}, event_id long, {name} boolean")
+    ordered = events.select("key", "t", "event_id", "outcome").repartition("key").sortWithinPartitions("key", "t", "event_id")
+    return ordered.mapInPandas(run, f"key {kind}, event_id long, {name} boolean")
 
 
 def within_budget(events: DataFrame, cap: int) -> DataFrame:
@@ -123,10 +131,32 @@ def hedged_chain(calls: DataFrame, hedge: float) -> DataFrame:
     return rows.withColumn("w", winner).groupBy("query_id").agg(F.min("w").cast("long").alias("winner"), F.round(F.max("wall"), 6).alias("wall"))
 
 
+def value_at_rank(values: DataFrame, group: str, value: str, rank: Callable[[Column], Column], cuts: int = 64) -> DataFrame:
+    """(group, n, p): the value at the 0-based place rank(n) among a group's n values in order, nulls left out.
+
+    Quantile sketches cut each group's values; exact counts below the cuts then tell between which two the place lies, and
+    only the distinct values between those are put in order, with how often they occur.
+    """
+    known = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("times"))
+    marks = F.percentile_approx("v", [i / cuts for i in range(cuts + 1)], 10_000)
+    edges = known.groupBy("g").agg(marks.alias("edges"), F.sum("times").alias("n"))
+    # a value's cell is the number of edges below it; cells are few, and counted exactly
+    celled = known.join(edges, "g").withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    cells = celled.groupBy("g", "n", "cell").agg(F.sum("times").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("g").orderBy("cell")) - F.col("held")
+    place = cells.withColumn("before", before).withColumn("at", rank(F.col("n")))
+    home = place.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("held"))).select("g", "cell", "before", "at")
+    inside = celled.join(home, ["g", "cell"])
+    upto = F.sum("times").over(Window.partitionBy("g").orderBy("v")) + F.col("before")
+    found = inside.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("times") <= F.col("at")))
+    return found.select(F.col("g").alias(group), "n", F.col("v").alias("p"))
+
+
 def percentile(values: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """Nearest-rank percentile: the value at q * (n - 1), rounded half to even."""
-    v = F.array_sort(F.collect_list(value))
-    return values.groupBy(group).agg(v.alias("v")).select(group, F.get("v", F.bround(F.lit(q) * (F.size("v") - 1)).cast("int")).alias("p"))
+    """Nearest-rank percentile: the value at q * (n - 1), rounded half to even; null where a group has no value."""
+    at = value_at_rank(values, group, value, lambda n: F.bround(F.lit(q) * (n - 1)).cast("long")).select(F.col(group).alias("g"), "p")
+    groups = values.select(F.col(group).alias("g")).distinct()
+    return groups.alias("a").join(at.alias("b"), F.expr("a.g <=> b.g"), "left").select(F.col("a.g").alias(group), "b.p")
 
 
 def seconds(ts: Column) -> Column:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-
 from ..functions.regex import re2, sql_text
 from ..functions.text import DATE_PATTERNS
 from ..operators import claims as C
@@ -25,7 +23,7 @@ def _drafts(spark, d):
 
 
 def _evidence(spark, d):
-    return R.hits(spark, d).where("enriched_text is not null").select("query_id", "pos", "url", F.substring("enriched_text", 1, 400).alias("text"))
+    return R.hits(spark, d).where("enriched_text is not null").select("query_id", "pos", "url", F.col("enriched_text").alias("text"))
 
 
 def _near(rel: str, tolerance: str) -> str:
@@ -33,7 +31,7 @@ def _near(rel: str, tolerance: str) -> str:
 
 
 _MATCH, _NEAR = _near("0.08", "0.5"), _near("0.25", "greatest(1.0, value * 0.05)")
-_EV = f"(select query_id, prim, substr(enriched_text, 1, 400) as text from (select *, {PRIMARY} as prim from {parts_of(_HK)}) where enriched_text is not null)"
+_EV = f"(select query_id, prim, enriched_text as text from (select *, {PRIMARY} as prim from {parts_of(_HK)}) where enriched_text is not null)"
 _EV_NUMBERS = f"(select * from (select query_id, prim, {claim_value_sql('raw')} as x from (select query_id, prim, unnest(regexp_extract_all(text, {_C}, 0)) as raw from {_EV})) where x is not null)"
 _CLAIMS = f"(select id as draft_id, id // 1000 as query_id, n, raw, value, kind from {CLAIMS_SQL} where origin = 'hit' and n < 24)"
 _WORDS = r"(select query_id, string_agg(regexp_replace(lower(text), '\s+', '', 'g'), ' ') as words from " + _EV + " group by query_id)"
@@ -77,22 +75,22 @@ _TTL = {"purchase": 7200.0, "click": 14400.0}
 
 def _chain_calls(spark, d):
     e = R.read(spark, d, "events")
-    return e.where("event_id < 8000").select((F.floor(F.col("event_id") / 4)).alias("query_id"), (F.col("event_id") % 4).alias("priority"), F.round("value", 4).alias("latency"), F.col("event_type").isin("click", "purchase").alias("ok"))
+    return e.select((F.floor(F.col("event_id") / 4)).alias("query_id"), (F.col("event_id") % 4).alias("priority"), F.round("value", 4).alias("latency"), F.col("event_type").isin("click", "purchase").alias("ok"))
 
 
-_CALLS = "(select event_id // 4 as query_id, event_id % 4 as priority, round(value, 4) as latency, event_type in ('click', 'purchase') as ok from events where event_id < 8000)"
+_CALLS = "(select event_id // 4 as query_id, event_id % 4 as priority, round(value, 4) as latency, event_type in ('click', 'purchase') as ok from events)"
 _HEDGE = f"""(select query_id, max(case when ok0 then l0 else greatest(l0, coalesce(first_ok, last)) end) as wall, min(case when ok0 then 0 when ok and priority > 0 and done <= greatest(l0, coalesce(first_ok, last)) then priority end) as winner
  from (select *, min(case when ok then done end) over (partition by query_id) as first_ok, max(done) over (partition by query_id) as last from (select c.*, z.latency as l0, z.ok as ok0, case when c.priority > 0 then least(z.latency, 20.0) + c.latency end as done from {_CALLS} c join {_CALLS} z on c.query_id = z.query_id and z.priority = 0)) group by query_id)"""
 
 
 def _responses(spark, d, provider, fields, wrap):
-    rows = R.hits(spark, d).withColumn("query_id", F.col("query_id") % 10)
+    rows = R.hits(spark, d).withColumn("query_id", R.within(F.col("query_id"), 10))  # a body holds 200 hits at most
     item = F.struct(*[e.alias(n) for n, e in fields(F.col).items()])
     in_order = F.transform(F.array_sort(F.collect_list(F.struct((F.col("pos") * 1000 + F.length("url")).alias("o"), "url", "snippet", item.alias("item")))), lambda s: s["item"])
     return P.parse(rows.groupBy("query_id").agg(F.to_json(wrap(in_order)).alias("body")), provider)
 
 
-_SRC = f"(select *, row_number() over (partition by query_id order by o, url, snippet) - 1 as i from (select * replace (query_id % 10 as query_id), pos * 1000 + length(url) as o from {parts_of(_HK)}))"
+_SRC = f"(select *, row_number() over (partition by query_id order by o, url, snippet) - 1 as i from (select * replace ({R.within_sql(10)} as query_id), pos * 1000 + length(url) as o from {parts_of(_HK)}))"
 
 
 def parsed_sql(min_chars: int, key: str, place: str, step: float, date: str, title: str, source: str, own: str = "null", cut: str = "substr({}, 1, 2000)") -> str:
@@ -114,13 +112,13 @@ PLANS = {
  count(*) filter (verdict in ('unsupported', 'conflict')) = 0 as ok from {VERDICTS} group by draft_id""",
     ),
     "clm_08_citations": (
-        lambda spark, d: C.citations_ok(R.hits(spark, d).select((F.col("query_id") * 1000 + F.col("pos")).alias("id"), "query_id", F.col("snippet").alias("text")), R.hits(spark, d).select(((F.col("query_id") + 1) % 40).alias("query_id"), "url")),
+        lambda spark, d: C.citations_ok(R.hits(spark, d).select((F.col("query_id") * 1000 + F.col("pos")).alias("id"), "query_id", F.col("snippet").alias("text")), R.hits(spark, d).select((F.col("query_id") + 1).alias("query_id"), "url")),
         f"""select a.id, coalesce(bool_or(contains(a.text, u.u) or (u.h <> '' and (contains(lower(a.text), u.h) or list_contains(list_transform(regexp_extract_all(a.text, '(?i)https?://[^\\s)\\]"''>]+'), lambda x: replace(lower(regexp_extract(x, '//([^/?#]*)', 1)), 'www.', '')), u.h)))), false) as ok
- from (select query_id * 1000 + pos as id, query_id, snippet as text from {_H}) a left join (select (query_id + 1) % 40 as query_id, trim(url) as u, bare as h from {parts_of(_HK)}) u on a.query_id = u.query_id group by a.id""",
+ from (select query_id * 1000 + pos as id, query_id, snippet as text from {_H}) a left join (select query_id + 1 as query_id, trim(url) as u, bare as h from {parts_of(_HK)}) u on a.query_id = u.query_id group by a.id""",
     ),
     "join_08_star_facts": (
-        lambda spark, d: C.star_verdicts(R.read(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("query_id"), F.lit(0).alias("n"), F.col("o_custkey").cast("double").alias("value")), R.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("stars"))),
-        "select query_id, 0 as n, bool_or(abs(value - stars) <= greatest(5.0, stars * 0.005) or abs(value - stars) / greatest(value, stars, 1.0) <= 0.02) as supported from (select o_orderkey as query_id, o_custkey as value, l_suppkey as stars from orders join lineitem on o_orderkey = l_orderkey where o_orderkey < 2000) group by query_id",
+        lambda spark, d: C.star_verdicts(R.read(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.lit(0).alias("n"), F.col("o_custkey").cast("double").alias("value")), R.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("stars"))),
+        "select query_id, 0 as n, bool_or(abs(value - stars) <= greatest(5.0, stars * 0.005) or abs(value - stars) / greatest(value, stars, 1.0) <= 0.02) as supported from (select o_orderkey as query_id, o_custkey as value, l_suppkey as stars from orders join lineitem on o_orderkey = l_orderkey) group by query_id",
     ),
     "str_01_limiter": (_guard(G.limiter(3, _DAY), "admitted"), folded("cast([] as double[])", _LIMIT_STEP, "admitted", _LIMIT_OK)),
     "str_02_breaker": (_guard(G.breaker(2, 172800.0), "allowed"), folded("[0.0, -1e18]", _TRIP_STEP, "allowed", _TRIP_OK)),

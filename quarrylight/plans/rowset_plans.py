@@ -54,10 +54,10 @@ def _synth(spark, d):
 
 def _halves(spark, d):
     h = R.hits(spark, d)
-    return h.where("pos % 2 = 0"), h.withColumn("query_id", F.col("query_id") % 20).where("pos % 3 = 0")
+    return h.where("pos % 2 = 0"), h.withColumn("query_id", R.within(F.col("query_id"), 20)).where("pos % 3 = 0")
 
 
-_HALVES = f"(select *, 0 as side from {_H} where pos % 2 = 0 union all select query_id % 20, * exclude (query_id), 1 from {_H} where pos % 3 = 0)"
+_HALVES = f"(select *, 0 as side from {_H} where pos % 2 = 0 union all select {R.within_sql(20)}, * exclude (query_id), 1 from {_H} where pos % 3 = 0)"
 _ELIGIBLE = f"""(select h.* from (select *, row_number() over () as i from {parts_of(_HK)}) h where trim(coalesce(enriched_text, '')) = '' and starts_with(url, 'https://') and not {BLOCKED}
  and exists (select 1 from ({_reason_sql().replace(R.URLS, f"(select query_id * 1000 + pos as id, url from {_H})")}) p where p.id = h.query_id * 1000 + h.pos and p.reason = ''))"""
 _TEXT = "concat_ws(chr(10), trim(coalesce(title, '')), trim(coalesce(url, '')), case when trim(coalesce(enriched_text, '')) <> '' then trim(enriched_text) else trim(coalesce(snippet, '')) end)"
@@ -95,7 +95,7 @@ GRAMS = f"""(select doc_id, round(count(distinct gram) / count(gram), 6) as dive
 
 
 def _wanted(spark, d):
-    return R.urls(spark, d).where("id % 5 = 1").select((F.col("id") % 40).alias("query_id"), F.col("id").alias("ord"), "url")
+    return R.urls(spark, d).where("id % 5 = 1").select(R.query_of(F.floor(F.col("id") / 2)).cast("long").alias("query_id"), F.col("id").alias("ord"), "url")
 
 
 def _part_prices(spark, d):
@@ -109,9 +109,9 @@ PLANS = {
         f"select query_id, side, pos, url from (select *, row_number() over (partition by query_id, {_MERGE} order by side, pos) as n from {_HALVES}) where n = 1",
     ),
     "set_02_merge_agents": (
-        lambda spark, d: S.merge_agents(R.hits(spark, d).withColumn("agent", F.col("pos") % 3).withColumn("role", F.concat(F.lit("r"), F.col("agent"))).withColumn("query_id", F.col("query_id") % 8).withColumn("url", F.when(F.col("pos") % 5 != 0, F.col("url")))).select("query_id", "agent", "pos", "url", "snippet"),
+        lambda spark, d: S.merge_agents(R.hits(spark, d).withColumn("agent", F.col("pos") % 3).withColumn("role", F.concat(F.lit("r"), F.col("agent"))).withColumn("query_id", R.within(F.col("query_id"), 8)).withColumn("url", F.when(F.col("pos") % 5 != 0, F.col("url")))).select("query_id", "agent", "pos", "url", "snippet"),
         f"""select query_id, agent, pos, url, '[agent:r' || agent || '] ' || coalesce(snippet, '') as snippet from (select *, row_number() over (partition by query_id, case when k = '' then 'row ' || i else k end order by agent, pos, snippet) as n
- from (select *, row_number() over () as i, lower(regexp_replace(split_part(trim(coalesce(url, '')), '#', 1), '/+$', '')) as k from (select query_id % 8 as query_id, pos % 3 as agent, pos, case when pos % 5 <> 0 then url end as url, snippet from {_H}))) where n = 1""",
+ from (select *, row_number() over () as i, lower(regexp_replace(split_part(trim(coalesce(url, '')), '#', 1), '/+$', '')) as k from (select {R.within_sql(8)} as query_id, pos % 3 as agent, pos, case when pos % 5 <> 0 then url end as url, snippet from {_H}))) where n = 1""",
     ),
     "set_03_first_of_domain": (
         lambda spark, d: S.first_of_domain(R.hits(spark, d), True).select("query_id", "pos", "url"),
@@ -124,7 +124,7 @@ PLANS = {
     ),
     "set_06_ensure_urls": (
         lambda spark, d: S.ensure_urls(R.hits(spark, d), _wanted(spark, d)).select("query_id", "pos", "url", "source", "relevance"),
-        f"""select query_id, pos, url, source, relevance from {_H} union all select query_id, -ord - 1, url, 'enrich_allowlist', 1.1::double from (select *, row_number() over (partition by query_id, key order by ord) as n from (select id % 40 as query_id, id as ord, trim(url) as url, {KEY} as key from {R.URLS} where id % 5 = 1 and starts_with(trim(url), 'https://')))
+        f"""select query_id, pos, url, source, relevance from {_H} union all select query_id, -ord - 1, url, 'enrich_allowlist', 1.1::double from (select *, row_number() over (partition by query_id, key order by ord) as n from (select id // 2 // {R.BLOCK} * {R.N_QUERIES} + id // 2 % {R.N_QUERIES} as query_id, id as ord, trim(url) as url, {KEY} as key from {R.URLS} where id % 5 = 1 and starts_with(trim(url), 'https://')))
  where n = 1 and not exists (select 1 from (select query_id as hq, {KEY} as hk from {_H}) where hq = query_id and hk = key)""",
     ),
     "set_07_new_urls": (

@@ -65,11 +65,11 @@ def claim_value_sql(r: str) -> str:
 
 
 _DATES = "coalesce(" + ", ".join(f"nullif(regexp_extract(snippet, {sql_text(re2(p))}, 1), '')" for p in T.DATE_PATTERNS) + ")"
-_ORDERS = "(select o_orderkey, '$' || cast(round(o_totalprice, 2) as decimal(18,2))::varchar || case o_orderkey % 4 when 0 then ' million' when 1 then ' billion' when 2 then 'k' else '' end || ' against ' || o_custkey || ' stars and ' || (o_orderkey % 100) || ',' || (o_custkey % 90 + 10) || '%' as text from orders where o_orderkey < 6000)"
+_ORDERS = "(select o_orderkey, '$' || cast(round(o_totalprice, 2) as decimal(18,2))::varchar || case o_orderkey % 4 when 0 then ' million' when 1 then ' billion' when 2 then 'k' else '' end || ' against ' || o_custkey || ' stars and ' || (o_orderkey % 100) || ',' || (o_custkey % 90 + 10) || '%' as text from orders)"
 
 
 def orders(spark, d):
-    o = R.read(spark, d, "orders").where("o_orderkey < 6000")
+    o = R.read(spark, d, "orders")
     k = F.col("o_orderkey")
     unit = F.when(k % 4 == 0, F.lit(" million")).when(k % 4 == 1, F.lit(" billion")).when(k % 4 == 2, F.lit("k")).otherwise(F.lit(""))
     price = F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")
@@ -177,9 +177,9 @@ PLANS = {
         f"select query_id, pos, n - 1 as n, value from (select query_id, pos, unnest(v) as value, generate_subscripts(v, 1) as n from (select query_id, pos, {PAGE_NUMBERS_SQL} as v from {_H}))",
     ),
     "num_07_close_pairs": (
-        lambda spark, d: R.read(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x")).join(R.read(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("y")), F.col("b") == F.col("a") + 1).select("a", "b", N.numbers_close(F.col("x"), F.col("y")).alias("close"), N.approx_equal(F.col("x"), F.col("y")).alias("equal")),
+        lambda spark, d: R.read(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("x")).join(R.read(spark, d, "part").select(F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("y")), F.col("b") == F.col("a") + 1).select("a", "b", N.numbers_close(F.col("x"), F.col("y")).alias("close"), N.approx_equal(F.col("x"), F.col("y")).alias("equal")),
         """select a.p_partkey as a, b.p_partkey as b, d <= 1.0 or d / greatest(abs(a.p_retailprice), abs(b.p_retailprice), 1e-9) <= 0.08 as close, d <= 0.5 or d / greatest(abs(a.p_retailprice), abs(b.p_retailprice), 1.0) <= 0.08 as equal
- from part a join part b on b.p_partkey = a.p_partkey + 1, lateral (select abs(a.p_retailprice - b.p_retailprice) as d) where a.p_partkey <= 200 and b.p_partkey <= 200""",
+ from part a join part b on b.p_partkey = a.p_partkey + 1, lateral (select abs(a.p_retailprice - b.p_retailprice) as d)""",
     ),
     "num_09_mention_count": (
         _hits(lambda c: dict(mentions=N.mention_count(F.substring(c("snippet"), 1, 12000)).cast("long"))),

@@ -90,12 +90,36 @@ MESSAGES_SQL = f"""(select (conv_id * 100 + turn) * 2 as id, text as message fro
  union all select (conv_id * 100 + turn) * 2 + 1, {_pick_sql(MESSAGES, "(conv_id + turn)")} from conversations)"""
 
 
+#: Questions, and the pages whose hits they share out: a query has 50 hits at most, whatever the scale.
+N_QUERIES, BLOCK = len(MESSAGES), 50 * len(MESSAGES)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, message): 40 questions."""
-    return spark.createDataFrame([(i, m) for i, m in enumerate(MESSAGES)], "query_id long, message string")
+    """(query_id, message): the questions, asked anew for every block of pages."""
+    blocks = read(spark, sf_dir, "pages").agg(F.coalesce(F.floor(F.max("page_id") / BLOCK), F.lit(0)).alias("m"))
+    ids = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("m") + 1) * N_QUERIES - 1).cast("long"))).alias("query_id"))
+    return ids.select("query_id", _pick(MESSAGES, F.col("query_id")).alias("message"))
+
+
+QUERIES_SQL = f"""(select query_id, {_pick_sql(MESSAGES, "query_id")} as message from (select unnest(range(0, cast((m + 1) * {N_QUERIES} as bigint))) as query_id
+ from (select coalesce(max(page_id) // {BLOCK}, 0) as m from pages)))"""
+
+
+def query_of(page: Column) -> Column:
+    return F.floor(page / BLOCK) * N_QUERIES + page % N_QUERIES
+
+
+def pos_of(page: Column) -> Column:
+    return F.floor(page % BLOCK / N_QUERIES)
+
+
+def within(query: Column, n: int) -> Column:
+    """The query's number modulo n within its block: the first queries of a block."""
+    return query - query % N_QUERIES + query % N_QUERIES % n
 
 
-QUERIES_SQL = "(select * from (values " + ", ".join(f"(cast({i} as bigint), {sql_list([m])[1:-1]})" for i, m in enumerate(MESSAGES)) + ") as q(query_id, message))"
+def within_sql(n: int, query: str = "query_id") -> str:
+    return f"({query} - {query} % {N_QUERIES} + {query} % {N_QUERIES} % {n})"
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,25 +131,26 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.when(F.col("page_id") % 3 == 0, made).otherwise(F.col("url"))
     body = F.concat(_pick(SNIPPETS, F.col("page_id")), F.lit(" "), readable)
     return p.select(
-        (F.col("page_id") % 40).alias("query_id"),
-        F.floor(F.col("page_id") / 40).cast("long").alias("pos"),
+        query_of(F.col("page_id")).cast("long").alias("query_id"),
+        pos_of(F.col("page_id")).cast("long").alias("pos"),
         F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
         u.alias("url"),
         snip.alias("snippet"),
         F.when(F.col("page_id") % 4 == 0, F.lit("2024-05-06")).alias("date"),
         F.when(F.col("page_id") % 11 == 0, F.lit("github_api")).otherwise(F.regexp_extract("url", r"^https?://([^/?#]*)", 1)).alias("source"),
-        F.round(1.0 - F.floor(F.col("page_id") / 40) * 0.08, 2).alias("relevance"),
+        F.round(1.0 - pos_of(F.col("page_id")) * 0.08, 2).alias("relevance"),
         F.when(F.col("page_id") % 2 == 0, body).alias("enriched_text"),
     )
 
 
 READABLE_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),
  '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"""
-HITS = f"""(select page_id % 40 as query_id, page_id // 40 as pos, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title,
+_POS = f"(page_id % {BLOCK} // {N_QUERIES})"
+HITS = f"""(select page_id // {BLOCK} * {N_QUERIES} + page_id % {N_QUERIES} as query_id, {_POS} as pos, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title,
  case when page_id % 3 = 0 then 'https://' || {_pick_sql(HOSTS, "(page_id * 5 + page_id // 7)")} || {_pick_sql(PATHS, "page_id")} else url end as url,
  {_pick_sql(SNIPPETS, "(page_id * 3 + page_id // 40)")} || ' ' || substr(readable, 1, 160) as snippet,
  case when page_id % 4 = 0 then '2024-05-06' end as date,
  case when page_id % 11 = 0 then 'github_api' else regexp_extract(url, '^https?://([^/?#]*)', 1) end as source,
- round(1.0 - (page_id // 40) * 0.08, 2)::double as relevance,
+ round(1.0 - {_POS} * 0.08, 2)::double as relevance,
  case when page_id % 2 = 0 then {_pick_sql(SNIPPETS, "page_id")} || ' ' || readable end as enriched_text
  from (select *, {READABLE_SQL} as readable from pages))"""
