@@ -49,6 +49,13 @@ def target_date(kind: Column, as_of: str) -> Column:
     return F.date_format(F.date_add(F.lit(as_of).cast("date"), days), "yyyy-MM-dd")
 
 
+def biased_query(message: Column, q: Column, portal: str) -> Column:
+    """The query with the portal's site mark where the message names a city and a listing; once."""
+    text = F.trim(blank(q))
+    wanted = city(message).isNotNull() & ~F.contains(F.lower(text), F.lit(portal))
+    return F.when(wanted, F.trim(F.concat(text, F.lit(f" site:{portal}")))).otherwise(q)
+
+
 def deep_link(x: Column, portal: str, section: str, as_of: str) -> Column:
     """portal/city/section?date_from=day, or the portal's front page where no city is named; no day named is today."""
     kind = F.when(day_kind(x) == "unspecified", F.lit("today")).otherwise(day_kind(x))

@@ -152,6 +152,26 @@ def value_at_rank(values: DataFrame, group: str, value: str, rank: Callable[[Col
     return found.select(F.col("g").alias(group), "n", F.col("v").alias("p"))
 
 
+def worker_schedule(pages: DataFrame, workers: int, deadline: float) -> DataFrame:
+    """pages (query_id, pos, latency) -> also finished and kept: pages start in order as one of `workers` gets free, and those
+    done by the deadline are kept; later ones are abandoned.
+
+    A query's pages are few (the engine reads 18 at most), so its schedule is folded within one row.
+    """
+    each = pages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "latency"))).alias("p"))
+    free = F.array_repeat(F.lit(0.0), max(1, workers))
+    done = F.array().cast("array<struct<pos:bigint,finished:double>>")
+
+    def add(s, x):
+        # the free times are kept in order, so the first is the next worker's
+        end = F.get(s["free"], F.lit(0)) + x["latency"]
+        left = F.array_sort(F.array_append(F.slice(s["free"], 2, max(1, workers)), end))
+        return F.struct(left.alias("free"), F.array_append(s["done"], F.struct(x["pos"].cast("long").alias("pos"), end.alias("finished"))).alias("done"))
+
+    folded = each.select("query_id", F.explode(F.aggregate("p", F.struct(free.alias("free"), done.alias("done")), add, lambda s: s["done"])).alias("d"))
+    return folded.select("query_id", "d.pos", F.round("d.finished", 6).alias("finished"), (F.col("d.finished") <= deadline).alias("kept"))
+
+
 def percentile(values: DataFrame, group: str, value: str, q: float) -> DataFrame:
     """Nearest-rank percentile: the value at q * (n - 1), rounded half to even; null where a group has no value."""
     at = value_at_rank(values, group, value, lambda n: F.bround(F.lit(q) * (n - 1)).cast("long")).select(F.col(group).alias("g"), "p")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import guard_plans, intent_plans, planning_plans, rowset_plans, text_plans, url_plans
+from . import engine_plans, guard_plans, intent_plans, planning_plans, rowset_plans, text_plans, url_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (url_plans, intent_plans, text_plans, rowset_plans, guard_plans, planning_plans)
+_MODULES = (url_plans, intent_plans, text_plans, rowset_plans, guard_plans, planning_plans, engine_plans)
 
 
 def _plans() -> dict[str, tuple[Query, str | None]]:
