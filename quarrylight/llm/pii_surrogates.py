@@ -280,7 +280,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     n = shuffle_partitions(entities.sparkSession)
     drawn = entities.withColumn("attempt", F.lit(0))
     while True:
-        spread = drawn.repartition(n, "kind", "canonical")  # a draw costs many hashes: not all in one task
+        spread = drawn.repartition(n)  # a draw costs many hashes: not all in one task
         drawn = written(spread.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
         held = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("holder"), F.count("*").alias("n"))
         shared = held.where("n > 1").select("kind", "surrogate", "holder")
