@@ -18,6 +18,7 @@ from ..operators import planning as P
 from ..operators import rowsets as S
 from ..operators import sessions as Se
 from ..operators import synthesis as Y
+from ..operators.smalltalk import trivial_by_table
 from ..sources import backends as B
 from ..sources import cache as Ca
 from ..sources import relations as R
@@ -228,7 +229,12 @@ def _guarded_sql() -> str:
  union all select e.key, e.n, e.event_id, {at(decide, "r.s")}, {at(step, "r.s")} from r join e on e.key = r.key and e.n = r.n + 1) select key, event_id, allowed from r"""
 
 
+def _lexicon(spark):
+    return spark.createDataFrame([("phrase", t) for t in I.TRIVIAL_PHRASES] + [("token", t) for t in I.TRIVIAL_TOKENS], "kind string, term string")
+
+
 PLANS = {
+    "qry_02_trivial_by_table": (lambda spark, d: trivial_by_table(R.messages(spark, d), _lexicon(spark)), f"select id, {_TRIVIAL} as trivial from (select *, {_N} as n from {_MSG})"),
     "qry_13_semantic_decision": (lambda spark, d: M.semantic_decision(_answered(spark, d), YEAR).drop("message", "answer"), f"select * exclude (message) from ({_SEMANTIC})"),
     "qry_09_classify": (lambda spark, d: M.classify(_answered(spark, d), YEAR).drop("message", "answer"), _CLASSIFY),
     "qry_21_portal_query": (
